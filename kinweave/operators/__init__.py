@@ -1 +1 @@
-
+"""Relational operators over sequences, k-mers and pairs."""

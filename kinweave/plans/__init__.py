@@ -1 +1 @@
-
+"""End-to-end plans made of the operators, and the registered queries."""
