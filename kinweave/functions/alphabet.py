@@ -54,6 +54,15 @@ def enumerate_kmers(spark: SparkSession, k: int, alphabet: str = ALPHABET) -> Da
     return spark.range(powz(len(alphabet), k)).select(F.col("id").alias("bid"), bucket_kmer(F.col("id"), k, alphabet).alias("kmer"))
 
 
+_BRACKETS = re.compile(r"\[(\^?)(\]?(?:\[:\w+:\]|[^\]])*)\]")
+
+
+def _inside(body: str) -> str:
+    """The inside of a bracket expression: classes by name, all else but ranges as it is."""
+    parts = re.split(r"\[:(\w+):\]", body)
+    return "".join(f"\\p{{{x.capitalize()}}}" if i % 2 else re.sub(r"[\\\[\]&^]", r"\\\g<0>", x) for i, x in enumerate(parts))
+
+
 def java_pattern(basic: str) -> str:
     """A POSIX basic regular expression as a Java one: there, braces and parentheses group only behind a backslash, and + ? | are plain."""
     out, i, start = [], 0, True
@@ -65,16 +74,9 @@ def java_pattern(basic: str) -> str:
             start = d in "(|"
             i += 2
             continue
-        if c == "[":
-            stop = basic.find("]", i + 2 if basic[i + 1 : i + 2] != "^" else i + 3)
-            body = basic[i + 1 : stop]
-            negated = body.startswith("^")
-            body = body[negated:]
-            body = body if re.search(r"\[[:.=]", body) else body.replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("&&", "&\\&")
-            body = re.sub(r"\[:(\w+):\]", lambda m: f"\\p{{{m[1].capitalize()}}}", body)
-            out.append("[" + "^" * negated + body + "]")
-            i = stop + 1
-            start = False
+        if c == "[" and (m := _BRACKETS.match(basic, i)):
+            out.append(f"[{m[1]}{_inside(m[2])}]")
+            i, start = m.end(), False
             continue
         if c in "(){}|+?" or c == "*" and start:
             out.append("\\" + c)
