@@ -31,10 +31,19 @@ def _self_join(rows: DataFrame, on: str | list[str], residual: Column | None = N
 
 
 def common_substring_pairs(sequences: DataFrame, em: int, cutoff: int | None = None) -> DataFrame:
-    """Distinct id1 < id2 that share a substring of em characters; with a cutoff, length ratios too low for an edge are left out in the join."""
-    rows = distinct_kmers(sequences, em)
-    residual = None if cutoff is None else length_filter(F.col("a.len"), F.col("b.len"), cutoff)
-    return _self_join(rows, "kmer", residual).select(F.col("a.sid").alias("id1"), F.col("b.sid").alias("id2")).distinct()
+    """Distinct id1 < id2 that share a substring of em characters; with a cutoff, length ratios too low for an edge are left out in the join.
+
+    Any common substring has a left-maximal one that begins at or before it, so
+    the join lets through left-maximal windows only: two copies of a long text
+    give a row or a few, not one for each window.
+    """
+    window = lambda i: F.struct(F.substring(F.col("seq"), i, F.lit(em)).alias("kmer"), left_char(F.col("seq"), i).alias("left"))
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - em + 1), window))
+    rows = sequences.where(F.col("len") >= em).select("sid", "len", F.explode(windows).alias("w")).select("sid", "len", "w.kmer", "w.left")
+    maximal = (F.col("a.left") != F.col("b.left")) | (F.col("a.left") == "$")
+    if cutoff is not None:
+        maximal = maximal & length_filter(F.col("a.len"), F.col("b.len"), cutoff)
+    return _self_join(rows, "kmer", maximal).select(F.col("a.sid").alias("id1"), F.col("b.sid").alias("id2")).distinct()
 
 
 def maximal_starts(sequences: DataFrame, em: int, skip: list[str] | None = None, window: int | None = None) -> DataFrame:
