@@ -37,9 +37,11 @@ def common_substring_pairs(sequences: DataFrame, em: int, cutoff: int | None = N
     the join lets through left-maximal windows only: two copies of a long text
     give a row or a few, not one for each window.
     """
-    window = lambda i: F.struct(F.substring(F.col("seq"), i, F.lit(em)).alias("kmer"), left_char(F.col("seq"), i).alias("left"))
+    # The character before and the window in one string: distinct strings are found by hash, distinct structs by comparing all.
+    window = lambda i: F.concat(left_char(F.col("seq"), i), F.substring(F.col("seq"), i, F.lit(em)))
     windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - em + 1), window))
-    rows = sequences.where(F.col("len") >= em).select("sid", "len", F.explode(windows).alias("w")).select("sid", "len", "w.kmer", "w.left")
+    rows = sequences.where(F.col("len") >= em).select("sid", "len", F.explode(windows).alias("w"))
+    rows = rows.select("sid", "len", F.substring("w", 2, em).alias("kmer"), F.substring("w", 1, 1).alias("left"))
     maximal = (F.col("a.left") != F.col("b.left")) | (F.col("a.left") == "$")
     if cutoff is not None:
         maximal = maximal & length_filter(F.col("a.len"), F.col("b.len"), cutoff)

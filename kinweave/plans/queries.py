@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, combin
-from ..functions.scoring import letter_scores, residue_index, self_score
-from ..operators import align, kmers, pairs, suffix
+from ..functions.scoring import BLOSUM62, RESIDUES, letter_scores, residue_index, self_score
+from ..operators import kmers, pairs, suffix
 from ..operators.align import align_pairs
 from ..sources.fasta import database_stats, from_column
 from ..sources.params import Params
@@ -270,6 +270,68 @@ def _suffix_sql() -> str:
       bwt, substr(rest, 1, 1) as t, sid, pos, substr(rest, 1, 20) as suffix from z join o using (sid)"""
 
 
+def _aligned_sql(kind: str, pairs_sql: str, source: str) -> str:
+    """CTEs up to aligned(id1, id2, score, matches, length): the recurrence cell by cell, a row a pair, gap states with their own counts.
+
+    h: the row above; cur: this row; d: deletions by column; ins: the insertion so far; best: the answer of sg and sw.
+    """
+    edge = (lambda k: f"case when {k} = 0 then 0 else -10 - ({k} - 1) end") if kind == "nw" else (lambda k: "0")
+    cell = lambda s, m="0", n="0": f"{{'s': cast({s} as integer), 'm': cast({m} as integer), 'n': cast({n} as integer)}}"
+    matrix = "[" + ", ".join(str(row) for row in BLOSUM62.tolist()) + "]"
+    code = lambda seq: f"list_transform(string_split({seq}, ''), lambda c: case when c = 'U' then 22 when instr('{RESIDUES}', c) > 0 then instr('{RESIDUES}', c) - 1 else 23 end)"
+    low = -1_000_000
+    gapped = lambda frm, state: f"case when {frm}.s - 10 >= {state}.s - 1 then {cell(frm + '.s - 10', frm + '.m', frm + '.n + 1')} else {cell(state + '.s - 1', state + '.m', state + '.n + 1')} end"
+    top = "case when g.s >= dd.s and g.s >= ii.s then g when dd.s >= ii.s then dd else ii end"
+    if kind == "sw":
+        top = f"case when greatest(g.s, dd.s, ii.s) <= 0 then {cell('0')} else {top} end"
+    better = {"nw": "false", "sg": "(i = m or j = n) and c.s > best.s", "sw": "c.s > best.s"}[kind]
+    answer = "h[n + 1]" if kind == "nw" else "best"
+    return f"""todo as (select p.id1, p.id2, {code('x.seq')} as a, {code('y.seq')} as b from {pairs_sql} p join {source} x on p.id1 = x.sid join {source} y on p.id2 = y.sid),
+    dp as (
+        select id1, id2, a, b, len(a) as m, len(b) as n, cast(1 as bigint) as i, cast(1 as bigint) as j,
+            list_transform(range(0, len(b) + 1), lambda k: {cell(edge('k'))}) as h, [{cell(edge('1'))}] as cur,
+            list_transform(range(0, len(b) + 1), lambda k: {cell(str(low))}) as d, {cell(str(low))} as ins, {cell('0' if kind == 'sw' else str(low))} as best
+        from todo
+        union all
+        select id1, id2, a, b, m, n, case when j = n then i + 1 else i end, case when j = n then 1 else j + 1 end,
+            case when j = n then list_append(cur, c) else h end, case when j = n then [{cell(edge('(i + 1)'))}] else list_append(cur, c) end,
+            list_concat(list_concat(d[1:j], [dd]), d[j + 2:]), case when j = n then {cell(str(low))} else ii end, case when {better} then c else best end
+        from (select *, {top} as c from (
+            select *, {cell(f'nw.s + {matrix}[a[i] + 1][b[j] + 1]', 'nw.m + (case when a[i] = b[j] then 1 else 0 end)', 'nw.n + 1')} as g from (
+                select *, {gapped('up', 'dp_')} as dd, {gapped('lf', 'ins')} as ii from (
+                    select *, h[j + 1] as up, h[j] as nw, cur[j] as lf, d[j + 1] as dp_ from dp where i <= m))))
+    ),
+    aligned as (select id1, id2, {answer}.s as score, {answer}.m as matches, {answer}.n as length from dp where i = m + 1)"""
+
+
+_ALL_NAMES = "(select x.sid as id1, y.sid as id2 from names x join names y on x.sid < y.sid)"
+
+
+def _edges_sql(pairs_sql: str) -> str:
+    """CTEs up to edged: aligned pairs with their ratios and verdict at the default thresholds."""
+    score = _self_score("seq")
+    return f"""with recursive {_NAMES}, selves as (select sid, seq, length(seq) as len, cast({score} as bigint) as self from names),
+    wanted as (select p.id1, p.id2 from {pairs_sql} p join selves x on p.id1 = x.sid join selves y on p.id2 = y.sid where 100 * least(x.len, y.len) >= 32 * greatest(x.len, y.len)),
+    {_aligned_sql('sw', 'wanted', 'names')},
+    longer as (select l.*, greatest(x.len, y.len) as max_len, case when x.len > y.len then x.self else y.self end as own, x.len * y.len as cost
+        from aligned l join selves x on l.id1 = x.sid join selves y on l.id2 = y.sid),
+    edged as (select *, round(length / nullif(max_len, 0), 9) as a, round(matches / nullif(length, 0), 9) as b, round(score / nullif(own, 0), 9) as c,
+        score > 0 and length * 100 >= 80 * max_len and matches * 100 >= 40 * length and score * 100 >= 30 * own as is_edge from longer)"""
+
+
+def _features_sql() -> str:
+    wide = ", ".join(f"max({v}) filter (where id2 = {j}) as \"{j}_{name}\"" for j in range(3) for v, name in (("a", "alen_maxlen"), ("b", "ndig_alen"), ("c", "score_sscore")))
+    probes = "(select x.sid as id1, y.sid as id2 from names x, names y where y.sid < 3)"
+    return f"{_edges_sql(probes)} select id1 as id, {wide}, case when bool_or(is_edge) then 'Homologous' else 'Not' end as class from edged group by id1"
+
+
+def _stats_sql() -> str:
+    return f"""{_edges_sql(_t1('names', 3))},
+    every as (select x.len * y.len as cost, 100 * least(x.len, y.len) >= 32 * greatest(x.len, y.len) as kept from {_t1('names', 3)} p join selves x on p.id1 = x.sid join selves y on p.id2 = y.sid)
+    select (select count(*) from edged where is_edge) as edge_counts, count(*) filter (where kept) as align_counts, count(*) filter (where not kept) as align_skipped,
+        cast(coalesce(sum(cost) filter (where kept), 0) as bigint) as work, cast(coalesce(sum(cost) filter (where not kept), 0) as bigint) as work_skipped from every"""
+
+
 _SKIP_SQL = "not regexp_matches({}, 'E{{2}}')"
 
 ORACLE_SQL = {
@@ -309,7 +371,11 @@ ORACLE_SQL = {
     "pairs_unseen": f"with {_BENCH} select * from {_t1('bench', 6)} except select * from {_t1('bench', 10)}",
     "residues": _residues_sql(),
     "suffix_table": _suffix_sql(),
+    "align_nw": f"with recursive {_NAMES}, {_aligned_sql('nw', _ALL_NAMES, 'names')} select * from aligned",
+    "align_sg": f"with recursive {_NAMES}, {_aligned_sql('sg', _ALL_NAMES, 'names')} select * from aligned",
+    "align_sw": f"with recursive {_NAMES}, {_aligned_sql('sw', _ALL_NAMES, 'names')} select * from aligned",
+    "edges": f"{_edges_sql(_t1('names', 3))} select id1, id2, a, b, c, is_edge from edged where is_edge",
+    "align_stats": _stats_sql(),
+    "feature_matrix": _features_sql(),
     "kmer_boundaries": f"with {_BENCH} select count(distinct kmer) as n_buckets from {_slide('bench', 5)}",
 }
-
-__all__ = ["ORACLE_SQL", "QUERIES", "align"]
