@@ -9,17 +9,41 @@ from ..functions.alphabet import LETTERS, bucket_index, filter_out
 from ..plans.tables import written
 
 
+#: Starts in a block. A substring is found by walking from the beginning, so windows are cut from blocks, not from the whole sequence.
+BLOCK = 64
+
+
+def windows(seq: Column, length: Column, width: int, of=lambda pid, window: window) -> Column:
+    """of(position from 1, window) for every window of width characters; for sequences of width characters or more."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((length - width) / BLOCK).cast("int")), lambda c: F.substring(seq, c * BLOCK + 1, F.lit(BLOCK + width - 1)))
+    inside = lambda text, c: F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: of(c * BLOCK + i, F.substring(text, i, F.lit(width))))
+    return F.flatten(F.transform(blocks, inside))
+
+
 def slide(sequences: DataFrame, k: int, skip: list[str] | None = None) -> DataFrame:
     """sid, pid (1-based), kmer for every window of k characters; windows that match a skip pattern are left out."""
-    windows = F.transform(F.sequence(F.lit(1), F.col("len") - k + 1), lambda i: F.struct(i.cast("long").alias("pid"), F.substring(F.col("seq"), i, F.lit(k)).alias("kmer")))
-    out = sequences.where(F.col("len") >= k).select("sid", F.explode(windows).alias("w")).select("sid", "w.pid", "w.kmer")
+    placed = windows(F.col("seq"), F.col("len"), k, lambda i, w: F.struct(i.cast("long").alias("pid"), w.alias("kmer")))
+    out = sequences.where(F.col("len") >= k).select("sid", F.explode(placed).alias("w")).select("sid", "w.pid", "w.kmer")
     return out.where(~filter_out(F.col("kmer"), skip)) if skip else out
 
 
 def distinct_kmers(sequences: DataFrame, k: int) -> DataFrame:
     """sid, len, kmer once for each sequence; repeats go before the rows are made, so no shuffle is needed."""
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - k + 1), lambda i: F.substring(F.col("seq"), i, F.lit(k))))
-    return sequences.where(F.col("len") >= k).select("sid", "len", F.explode(windows).alias("kmer"))
+    return sequences.where(F.col("len") >= k).select("sid", "len", F.explode(F.array_distinct(windows(F.col("seq"), F.col("len"), k))).alias("kmer"))
+
+
+def with_left(sequences: DataFrame, k: int, sentinel: str = "$") -> DataFrame:
+    """sid, pid, kmer and the character before it, the sentinel at the beginning."""
+    led = F.concat(F.lit(sentinel), F.col("seq"))
+    placed = windows(led, F.col("len") + 1, k + 1, lambda i, w: F.struct(i.cast("long").alias("pid"), F.substring(w, 2, k).alias("kmer"), F.substring(w, 1, 1).alias("left")))
+    return sequences.where(F.col("len") >= k).select("sid", F.explode(placed).alias("w")).select("sid", "w.*")
+
+
+def distinct_with_left(sequences: DataFrame, k: int, sentinel: str = "$") -> DataFrame:
+    """sid, len, kmer, left once for each sequence. They are one string until they are distinct: strings are told apart by hash, structs by comparing all."""
+    led = F.concat(F.lit(sentinel), F.col("seq"))
+    rows = sequences.where(F.col("len") >= k).select("sid", "len", F.explode(F.array_distinct(windows(led, F.col("len") + 1, k + 1))).alias("w"))
+    return rows.select("sid", "len", F.substring("w", 2, k).alias("kmer"), F.substring("w", 1, 1).alias("left"))
 
 
 def suffixes(sequences: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.alphabet import filter_out, left_char
+from ..functions.alphabet import filter_out
 from ..functions.combin import all_pairs, rank_pair, unrank_pair
 from ..functions.scoring import length_filter, pair_cost
-from .kmers import distinct_kmers, slide
+from .kmers import distinct_kmers, distinct_with_left, slide, with_left
 
 
 def _self_join(rows: DataFrame, on: str | list[str], residual: Column | None = None) -> DataFrame:
@@ -37,11 +37,7 @@ def common_substring_pairs(sequences: DataFrame, em: int, cutoff: int | None = N
     the join lets through left-maximal windows only: two copies of a long text
     give a row or a few, not one for each window.
     """
-    # The character before and the window in one string: distinct strings are found by hash, distinct structs by comparing all.
-    window = lambda i: F.concat(left_char(F.col("seq"), i), F.substring(F.col("seq"), i, F.lit(em)))
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - em + 1), window))
-    rows = sequences.where(F.col("len") >= em).select("sid", "len", F.explode(windows).alias("w"))
-    rows = rows.select("sid", "len", F.substring("w", 2, em).alias("kmer"), F.substring("w", 1, 1).alias("left"))
+    rows = distinct_with_left(sequences, em)
     maximal = (F.col("a.left") != F.col("b.left")) | (F.col("a.left") == "$")
     if cutoff is not None:
         maximal = maximal & length_filter(F.col("a.len"), F.col("b.len"), cutoff)
@@ -50,8 +46,7 @@ def common_substring_pairs(sequences: DataFrame, em: int, cutoff: int | None = N
 
 def maximal_starts(sequences: DataFrame, em: int, skip: list[str] | None = None, window: int | None = None) -> DataFrame:
     """sid, pid, kmer, left for each window of em characters; with skip patterns, windows whose first ``window`` characters match one are left out."""
-    windows = F.transform(F.sequence(F.lit(1), F.col("len") - em + 1), lambda i: F.struct(i.cast("long").alias("pid"), F.substring(F.col("seq"), i, F.lit(em)).alias("kmer"), left_char(F.col("seq"), i).alias("left")))
-    out = sequences.where(F.col("len") >= em).select("sid", F.explode(windows).alias("w")).select("sid", "w.*")
+    out = with_left(sequences, em)
     return out.where(~filter_out(F.substring("kmer", 1, window or em), skip)) if skip else out
 
 
