@@ -11,7 +11,9 @@ from ..operators import kmers, pairs, suffix
 from ..operators.align import align_pairs
 from ..sources.fasta import database_stats, from_column
 from ..sources.params import Params
+from ..streaming import dedup
 from . import pipeline
+from .tables import fresh_path
 
 EM = 24
 NAMES = Params(UseTree=True, ExactMatchLength=3, DuplicatesLocal=False, DuplicatesGlobal=True)
@@ -143,6 +145,39 @@ def pairs_unseen(spark, sf):
     return pairs.unseen(pairs.common_substring_pairs(b, 6), pairs.common_substring_pairs(b, 10))
 
 
+def dedup_scopes(spark, sf):
+    """Occurrences, and pairs left in each scope of duplicate removal."""
+    found = pairs.tiles(pairs.maximal_matches(benchmark(spark, sf), 6).select("id1", "id2"), 10)
+    counts = [pairs.deduplicate(found, s).agg(F.count(F.lit(1)).alias("pairs")).select(F.lit(s).alias("scope"), "pairs") for s in ("none", "tile", "global")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def suffix_lengths(spark, sf):
+    """Moments of the lengths of all suffixes."""
+    lengths = documents(spark, sf).select(F.explode(F.sequence(F.lit(1), F.greatest("len", F.lit(1)))).alias("length"), "len").where("len > 0")
+    stats = lengths.agg(*kmers.moments(F.col("length").cast("long")))
+    return stats.select("n", "sum", "least", "most", F.round("mean", 4).alias("mean"))
+
+
+def all_kmers(spark, sf):
+    return alphabet.enumerate_kmers(spark, 3, alphabet.LETTERS)
+
+
+def edge_labels(spark, sf):
+    found = pipeline.edges(part_names(spark, sf), Params(UseTree=True, ExactMatchLength=3, DuplicatesLocal=False, DuplicatesGlobal=True, OutputAll=True))
+    return found.select("id1", "id2", F.when(F.col("is_edge"), "Edge").otherwise("NotAnEdge").alias("label"))
+
+
+def stream_first_seen(spark, sf):
+    """Pairs of part and supplier as a stream, each once; what the stream has written is the result."""
+    folder = fresh_path(spark, "stream")
+    stream = spark.readStream.schema("l_partkey long, l_suppkey long").parquet(f"{sf}/lineitem.parque[t]")  # a pattern may name one file as well as a folder
+    seen = dedup.first_seen(stream.select(F.col("l_partkey").alias("id1"), F.col("l_suppkey").alias("id2")))
+    query = seen.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("id1 long, id2 long").parquet(f"{folder}/out")
+
+
 def residues(spark, sf):
     letters = _read(spark, sf, "nation").select(F.explode(F.split("n_name", "")).alias("letter")).where("letter <> ''").distinct()
     return letters.select("letter", residue_index(F.col("letter")).cast("long").alias("code"))
@@ -198,7 +233,7 @@ QUERIES = {f.__name__: f for f in (
     seq_index, db_stats, kmer_buckets, bucket_stats, kmer_skip, bucket_refine, exact_match_pairs, exact_match_length_filtered, match_occurrences,
     match_occurrences_skip, occurrences_by_pair, longest_match, contamination, equal_left_pairs, tile_counts, pair_costs, cost_by_owner, brute_force,
     selectivity, rank_unrank, probe_pairs, pairs_unseen, residues, suffix_table, kmer_boundaries, align_nw, align_sg, align_sw, edges, align_stats,
-    feature_matrix, benchmark_edges,
+    feature_matrix, benchmark_edges, dedup_scopes, suffix_lengths, all_kmers, edge_labels, stream_first_seen,
 )}
 
 
@@ -377,5 +412,12 @@ ORACLE_SQL = {
     "edges": f"{_edges_sql(_t1('names', 3))} select id1, id2, a, b, c, is_edge from edged where is_edge",
     "align_stats": _stats_sql(),
     "feature_matrix": _features_sql(),
+    "edge_labels": f"{_edges_sql(_t1('names', 3))} select id1, id2, case when is_edge then 'Edge' else 'NotAnEdge' end as label from edged",
+    "dedup_scopes": f"""with {_BENCH}, o as (select id1, id2, case when id1 // 10 = id2 // 10 then -1 - id1 // 10 else {_rank('id1 // 10', 'id2 // 10')} end as tile from {_t2('bench', 6)})
+        select 'none' as scope, count(*) as pairs from o union all select 'tile', count(distinct (tile, id1, id2)) from o union all select 'global', count(distinct (id1, id2)) from o""",
+    "suffix_lengths": f"""with {_DOCS}, l as (select unnest(range(1, length(seq) + 1)) as length from docs)
+        select count(*) as n, cast(sum(length) as bigint) as sum, min(length) as least, max(length) as most, round(avg(length), 4) as mean from l""",
+    "all_kmers": "select a * 676 + b * 26 + c as bid, chr(cast(65 + a as integer)) || chr(cast(65 + b as integer)) || chr(cast(65 + c as integer)) as kmer from range(26) x(a), range(26) y(b), range(26) z(c)",
+    "stream_first_seen": "select distinct cast(least(l_partkey, l_suppkey) as bigint) as id1, cast(greatest(l_partkey, l_suppkey) as bigint) as id2 from lineitem where l_partkey <> l_suppkey",
     "kmer_boundaries": f"with {_BENCH} select count(distinct kmer) as n_buckets from {_slide('bench', 5)}",
 }

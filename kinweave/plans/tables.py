@@ -5,17 +5,21 @@ from __future__ import annotations
 import os
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written and read again: no lineage before it, and whole after an executor is lost."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path that isn't used yet, in the shared folder."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file:///tmp/kinweave-{os.getpid()}"
-    path = f"{folder.rstrip('/')}/kinweave-{name}-{uuid4().hex}"
+    return f"{folder.rstrip('/')}/kinweave-{name}-{uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read again: no lineage before it, and whole after an executor is lost."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

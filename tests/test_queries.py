@@ -13,7 +13,7 @@ SLOW = {"occurrences_by_pair", "pair_costs", "exact_match_length_filtered", "til
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "part", "nation", "orders"):
+    for t in ("documents", "benchmark", "part", "nation", "orders", "lineitem"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
