@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 from .pretokens import pretokens
 
-CACHE = 400_000
+CACHE = 250_000
 #: Longer pre-tokens (in bytes) are not cached.
 LONGEST = 256
 

@@ -8,6 +8,7 @@ of a partition.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from uuid import uuid4
@@ -80,12 +81,17 @@ def append_columns(
     input columns that stay (all by default); an input column that has the name
     of a new one is replaced by it. Rows keep their order.
     """
+    small_batches(df.sparkSession)
     new = {name.lower() for name, _ in fields}
-    stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    through = df if text in df.columns else df.withColumnRenamed(next(c for c in df.columns if c.lower() == text.lower()), text)
-    where = through.columns.index(text)
-    stay_at = [through.columns.index(c) for c in stay]
-    schema = T.StructType([through.schema[i] for i in stay_at] + [T.StructField(n, t) for n, t in fields])
+    names_in = df.columns
+    at = lambda name: names_in.index(name) if name in names_in else [c.lower() for c in names_in].index(name.lower())
+    stay_at = [i for i in (range(len(names_in)) if keep is None else map(at, keep)) if names_in[i].lower() not in new]
+    # Names by place: a name that clashes with another can't be looked up.
+    flat = df.toDF(*(f"_{i}" for i in range(len(names_in))))
+    sent_at = stay_at if at(text) in stay_at else [*stay_at, at(text)]
+    through = flat.select(*(F.col(f"_{i}") for i in sent_at))
+    where = sent_at.index(at(text))
+    schema = T.StructType([df.schema[i] for i in stay_at] + [T.StructField(n, t) for n, t in fields])
     kinds = [_arrow(t) for _, t in fields]
     names = [schema[i].name for i in range(len(schema))]
 
@@ -94,7 +100,7 @@ def append_columns(
         for batch in batches:
             for part in slices(batch, where):
                 made = compute(part.column(where).to_pylist())
-                columns = [part.column(i) for i in stay_at] + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
+                columns = [part.column(i) for i in range(len(stay_at))] + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return through.mapInArrow(run, schema)
@@ -106,6 +112,24 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+#: Rows and bytes of the batches that go between the JVM and Python; a task holds a few of them.
+BATCH_ROWS = 2000
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so that a task's memory doesn't follow the length of its texts. A smaller setting stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = _bytes(spark.conf.get(key))
+        if have <= 0 or have > _bytes(str(most)):
+            spark.conf.set(key, most)
+
+
+def _bytes(value: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", str(value).strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit]
+
+
 def crc_mod(column: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
@@ -130,4 +154,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/kinweave-{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._kinweave_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_kinweave_path", None):
+            jvm = t.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

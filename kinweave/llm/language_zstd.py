@@ -101,7 +101,7 @@ def learn(train: DataFrame, slots: int = SLOTS, piece: int = PIECE, max_language
     return {lang: b" ".join(letters(p) for _, p in sorted(own)) for lang, own in parts.items()}
 
 
-def classify(df: DataFrame, samples: dict[str, bytes], keep: list[str] | None = None) -> DataFrame:
+def classify(df: DataFrame, samples: dict[str, bytes], keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds lang_pred, score, rejected; a narrow step. The dictionaries go along with the task (96 KB a language at most, by default)."""
 
     def make():
@@ -112,7 +112,7 @@ def classify(df: DataFrame, samples: dict[str, bytes], keep: list[str] | None =
 
         return compute
 
-    return append_columns(df, make, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], keep=keep)
+    return append_columns(df, make, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], text, keep)
 
 
 def identify(df: DataFrame, keep: list[str] | None = None, held_out: int = 2, folds: int = 4, **more) -> DataFrame:

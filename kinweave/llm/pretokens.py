@@ -74,12 +74,13 @@ def code_point_classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, np.uint8)
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE_RUN, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, text):
-            a, b = (p if p < 0xD800 else p + 0x800 for p in m.span())
-            table[a:b] = kind
+    patterns = [(kind, regex.compile(p)) for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE_RUN, r"\p{White_Space}+"))]
+    for low in range(0, 0x110000, 0x800):
+        if not 0xD800 <= low < 0xE000:
+            text = "".join(map(chr, range(low, low + 0x800)))
+            for kind, pattern in patterns:
+                for m in pattern.finditer(text):
+                    table[low + m.start() : low + m.end()] = kind
     return table
 
 
