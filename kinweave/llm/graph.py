@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 MAX_ROUNDS = 60
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-        e = written(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct(), "components")
+        before, e = e, written(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct(), "components")
+        forget(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .byte_bpe import CACHE, Cache, pack_ids
-from .common import pick, slices
+from .common import pick, slices, small_batches
 from .pretokens import pretokens
 
 WINDOW = 2048
@@ -150,6 +150,7 @@ class SumOfSquares:
 
 def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
     """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit)."""
+    small_batches(df.sparkSession)
     source = pick(df, "doc_id", "text")
     fields = [("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType())]
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(n, t) for n, t in fields]])
@@ -165,8 +166,9 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end_id: i
         def emit(pieces: list) -> None:
             nonlocal made
             at = 0
-            for (doc_id, ids), start, length in pieces:
-                rows.append((doc_id, start, length, len(ids) // 4, base + made, at, ids[4 * start : 4 * (start + length)]))
+            for (doc_id, tokens, held, ids), start, length in pieces:
+                low = 4 * (start - held)
+                rows.append((doc_id, start, length, tokens, base + made, at, ids[low : low + 4 * length]))
                 at += length
             made += 1
 
@@ -182,16 +184,16 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end_id: i
             for part in slices(whole, 1):
                 docs = part.column(0).to_pylist()
                 for doc_id, ids in zip(docs, encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    doc = (doc_id, ids + end)
-                    n = len(doc[1]) // 4
+                    ids += end
+                    n = len(ids) // 4
                     cut = n - n % window
                     for start in range(0, cut, window):
-                        emit([(doc, start, window)])
+                        emit([((doc_id, n, 0, ids), start, window)])
                         if len(rows) >= OUT_ROWS:
                             yield batch()
-                    if cut < n:
-                        rest = (doc_id, doc[1]) if not cut else doc
-                        if done := packer.place((rest, cut, n - cut), n - cut):
+                    if cut < n:  # an open window holds the rest alone, not the document
+                        done = packer.place(((doc_id, n, cut, ids[4 * cut :]), cut, n - cut), n - cut)
+                        if done:
                             emit(done)
                             if len(rows) >= OUT_ROWS:
                                 yield batch()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, pick, written
+from .common import append_columns, forget, pick, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 FEATURES = ["symbols", "dup_lines", "repeats", "upper", "word_length", "line_words"]
@@ -230,7 +230,8 @@ def quality_rules(df: DataFrame, share: float = SHARE, steps: int = STEPS, min_g
     worded = keyed.where(F.col("n_words") > 0).select(*_KEY, *FEATURES)
     estimates = written(_starts(worded), "quality-start")
     for _ in range(steps):
-        estimates = written(_concentrate(worded, estimates, groups, share), "quality-step")
+        before, estimates = estimates, written(_concentrate(worded, estimates, groups, share), "quality-step")
+        forget(before)
     n, r = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < 50) | (100 * r > 50 * n)
     within = F.coalesce(F.col("distance") <= chi2_quantile(quantile, len(FEATURES)), F.lit(False))

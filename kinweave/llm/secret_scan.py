@@ -32,9 +32,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 STRONG = ["assign", "access", "hex"]
 
 #: Weak parts by role. The last group of a pattern is the span if it has groups.
-_WEAK_ID = re.compile(r"""\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}\b|(?:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+_WEAK_ID = re.compile(r"""\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}\b|(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.A)
 _WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,200}?[0-9])(?=[A-Za-z0-9+/_-]{0,200}?[A-Z])(?=[A-Za-z0-9+/_-]{0,200}?[a-z])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])""", re.A)
-_ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?(?:/[^\s\"'<>]*)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|azure\.com|googleapis\.com|internal)(?::\d+)?", re.A)
+_ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?(?:/[^\s\"'<>]*)?|(?<![a-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,10}(?:amazonaws\.com|azure\.com|googleapis\.com|internal)(?::\d+)?", re.A)
 LINKED = ["access_part", "secret_part", "endpoint_part"]
 KINDS = STRONG + LINKED
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -56,22 +56,37 @@ def _weak(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
 
 
 class _Near:
-    """Parts sorted by start; asks whether one lies within reach of an interval."""
+    """Parts by start and by end; no part crosses the border of a scope, as none holds a line end."""
 
     def __init__(self, parts: list[tuple[int, int]]):
-        self.parts = sorted(set(parts))
-        self.starts = [a for a, _ in self.parts]
-        self.longest = max((b - a for a, b in self.parts), default=0)
+        self.starts = sorted(a for a, _ in parts)
+        self.ends = sorted(b for _, b in parts)
 
     def has(self, start: int, end: int, reach: int, low: int, high: int) -> bool:
-        """A part within [low, high), at most reach away, which doesn't overlap [start, end)."""
-        i = bisect.bisect_left(self.starts, max(low, start - reach - self.longest))
-        while i < len(self.parts) and self.starts[i] < min(high, end + reach + 1):
-            a, b = self.parts[i]
-            if b <= high and (b <= start and start - b <= reach or a >= end):
-                return True
-            i += 1
-        return False
+        """Is there a part in [low, high), at most reach before start or after end?"""
+        i = bisect.bisect_left(self.starts, end)
+        if i < len(self.starts) and self.starts[i] < min(high, end + reach + 1):
+            return True
+        i = bisect.bisect_right(self.ends, start) - 1
+        return i >= 0 and self.ends[i] > max(low, start - reach - 1)
+
+
+def _free(parts: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts that overlap nothing of taken."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for a, b in parts:
+        i = bisect.bisect_right(ends, a)
+        if i == len(starts) or starts[i] >= b:
+            out.append((a, b))
+    return out
 
 
 def _scopes(text: str) -> list[int]:
@@ -87,19 +102,8 @@ def scan(text: str | None, reach: int = REACH) -> tuple[list[tuple[int, int, str
     weak_ids = _weak(_WEAK_ID, text)
     if not (weak_secrets or weak_ids) or not (weak_secrets or base) or not (weak_ids or base):
         return base, base
-    taken = _Near([(a, b) for a, b, _ in base])
-
-    def free(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out = []
-        for a, b in parts:
-            i = bisect.bisect_left(taken.starts, a - taken.longest)
-            while i < len(taken.parts) and taken.starts[i] < b and taken.parts[i][1] <= a:
-                i += 1
-            if i == len(taken.parts) or taken.starts[i] >= b:
-                out.append((a, b))
-        return out
-
-    weak_secrets, weak_ids = free(weak_secrets), free(weak_ids)
+    taken = [(a, b) for a, b, _ in base]
+    weak_secrets, weak_ids = _free(weak_secrets, taken), _free(weak_ids, taken)
     ids = _Near([(a, b) for a, b, k in base if k == "access"] + weak_ids)
     secrets = _Near([(a, b) for a, b, k in base if k != "access"] + weak_secrets)
     edges = _scopes(text)
@@ -107,7 +111,7 @@ def scan(text: str | None, reach: int = REACH) -> tuple[list[tuple[int, int, str
     for kind, parts, others in (
         ("access_part", weak_ids, [secrets]),
         ("secret_part", weak_secrets, [ids]),
-        ("endpoint_part", free(_weak(_ENDPOINT, text)) if ids.parts and secrets.parts else [], [ids, secrets]),
+        ("endpoint_part", _free(_weak(_ENDPOINT, text), taken) if ids.starts and secrets.starts else [], [ids, secrets]),
     ):
         for a, b in parts:
             at = bisect.bisect_right(edges, a)

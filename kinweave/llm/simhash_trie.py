@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, texts, written
+from .common import append_columns, forget, texts, written
 from .graph import components
 
 BUDGET = 3
@@ -231,6 +231,7 @@ def near_duplicates(df: DataFrame, budget: int = BUDGET, group_cap: int = GROUP_
     roots = components(found)
     rooted = leaves.join(roots, leaves["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
+    forget(leaves, found)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return docs.join(classes, "fp").select("doc_id", "fp", "component_id")

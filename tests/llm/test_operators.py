@@ -69,7 +69,7 @@ def test_token_counts_latin():
     counter = token_counts.ChunkCounter()
     for c in map(chr, range(1, 256)):
         for text in (c, f"a{c}b", f" {c} ", f"{c}{c}1"):
-            assert counter.count(text)[0] == len(counter.whole.encode(text, add_special_tokens=False))
+            assert counter.count(text)[0] == counter.count_all([text])[0][0] == len(counter.whole.encode(text, add_special_tokens=False))
 
 
 def base(text):
@@ -308,6 +308,20 @@ def brute_base(text):
     return [(a, b, secret_scan.STRONG[k]) for a, k, b in sorted(found)]
 
 
+def brute_links(text, base, reach):
+    """Every pair of parts looked at."""
+    apart = lambda x, y: y[0] - x[1] if x[1] <= y[0] else x[0] - y[1] if y[1] <= x[0] else -1
+    near = lambda x, y: 0 <= apart(x, y) <= reach and not re.search(r"\n[\x20\t\r]*\n", text[min(x[1], y[1]) : max(x[0], y[0])])
+    free = lambda pattern: [x for x in secret_scan._weak(pattern, text) if all(apart(x, b[:2]) >= 0 for b in base)]
+    weak_ids, weak_secrets, ends = free(secret_scan._WEAK_ID), free(secret_scan._WEAK_SECRET), free(secret_scan._ENDPOINT)
+    ids = weak_ids + [b[:2] for b in base if b[2] == "access"]
+    secrets = weak_secrets + [b[:2] for b in base if b[2] != "access"]
+    some = lambda x, others: any(near(x, o) for o in others)
+    out = list(base) + [(*x, "access_part") for x in weak_ids if some(x, secrets)] + [(*x, "secret_part") for x in weak_secrets if some(x, ids)]
+    out += [(*x, "endpoint_part") for x in ends if some(x, ids) and some(x, secrets)]
+    return sorted(out, key=lambda s: (s[0], secret_scan.KINDS.index(s[2])))
+
+
 def test_secret_scan(spark, docs, nothing, rows):
     for text in [*SECRETS, "\n".join(SECRETS), *(t for _, t, *_ in rows if t)]:
         assert secret_scan.scan(text)[0] == brute_base(text)
@@ -315,6 +329,13 @@ def test_secret_scan(spark, docs, nothing, rows):
     assert kinds[9] == {"access_part": 1, "secret_part": 1, "endpoint_part": 1}
     assert not kinds[10] and not kinds[11]
     assert kinds[12] == {"assign": 1, "access_part": 1}
+    assert secret_scan.scan("akiabcdefghijkl secret=abcdefgh")[1] == [(16, 31, "assign")]
+    rng = random.Random(11)
+    words = ["login: bob", "token=abcdefg", "wJalrXUtnFEMIK7MDENGbPxRf", "AKIA" + "Q" * 17, "word", "\n\n", "https://a.example/x", "f" * 30]
+    for _ in range(300):
+        t = " ".join(rng.choices(words, k=rng.randint(1, 25)))
+        base, every = secret_scan.scan(t, 30)
+        assert set(base) <= set(every) and every == brute_links(t, base, 30)
     text = SECRETS[9]
     assert "wJalr" not in secret_scan.redact(text, secret_scan.scan(text)[1])
     assert secret_scan.scan_secrets(docs.select(*docs.columns[:1], docs.columns[2], F.lit("token=abcdefg").alias("text"))).where("size(base_spans) = 1").count() == len(rows)
@@ -351,6 +372,13 @@ def test_spot_signatures(spark, docs, nothing, rows):
     assert spot_signatures.edited_and_next(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200])
+def test_count_above(spark, n):
+    falling = [float(3 * k) for k in reversed(range(n))]
+    got = spark.range(-2, 620, 7).select("id", spot_signatures._count_above(falling, F.col("id").cast("double")).alias("c")).collect()
+    assert all(r["c"] == sum(b > r["id"] for b in falling) for r in got)
+
+
 def crc(i):
     return zlib.crc32(("" if i is None else str(i)).encode())
 
@@ -404,3 +432,18 @@ def test_hidden_null_types(spark):
     assert simhash_trie.near_duplicates(df).where("fp = 0").count() == 3
     assert spot_signatures.edited_and_next(df).count() == 3
     assert language_zstd.identify(df).where("lang_pred = 'und'").count() == 3
+
+
+def test_spot_near_duplicates(spark):
+    rng = random.Random(6)
+    base = [" ".join(rng.choices(WORDS + ["w%d" % k for k in range(200)], k=rng.randint(20, 120))) for _ in range(25)]
+    texts = [*base, *base[:6], *(t + " the end of it" for t in base[:12]), *(t[: -len(t) // 20] for t in base), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, members = spot_signatures.near_duplicates(df)
+    own = {r["doc_id"]: r["class"] for r in members.collect()}
+    sets = {own[i]: brute_spots(t) for i, t in enumerate(texts)}
+    names = sorted(sets)
+    expected = {(x, y) for x in names for y in names if x < y and sets[x] and sets[y] and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8}
+    assert len(expected) > 5
+    assert {(r["class1"], r["class2"]) for r in pairs.collect()} == expected
+    assert len(own) == len(texts) and own[0] == own[25]

@@ -1,0 +1,108 @@
+"""The stages, each against brute force on its own input."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kinweave.llm import language_zstd, packing, secret_scan, simhash_trie, toxicity_fm
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Each stage's input and result."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(folder / name))
+        after = spark.read.parquet(str(folder / name))
+        out.append((docs, after))
+        docs = after
+    return out
+
+
+def ids(df):
+    return sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+
+def test_columns(stages):
+    columns = stages[0][0].columns
+    assert all(after.columns == columns for _, after in stages[:-1])
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "near_dedup", "secrets", "packing"]
+
+
+def test_language_stage(spark, stages):
+    before, after = stages[0]
+    rows = before.collect()
+    samples = language_zstd.learn(before.where(language_zstd.crc_mod(F.col("doc_id"), 4) != 2))
+    judge = language_zstd.Classifier(samples)
+    assert ids(after) == sorted(r["doc_id"] for r in rows if not judge.predict(r["text"])[2])
+    assert after.count() > 0.97 * before.count()
+
+
+def test_toxicity_stage(spark, stages):
+    before, after = stages[1]
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(toxicity_fm.crc_mod(F.col("doc_id"), 3) != 1)
+    model = toxicity_fm.train(before.join(labels.select("doc_id", "toxic"), "doc_id"))
+    feature = {b: i for i, b in enumerate(model.buckets)}
+
+    def score(text):
+        found = {feature[b] for w in set(toxicity_fm._WORD.findall((text or "").lower())) for b in toxicity_fm.word_buckets(w) if b in feature}
+        return model.score(sorted(found))
+
+    assert ids(after) == sorted(r["doc_id"] for r in before.collect() if score(r["text"]) < 0.7)
+    clean = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").join(before.select("doc_id"), "doc_id")
+    assert clean.join(after.select("doc_id"), "doc_id", "left_anti").count() <= 0.01 * clean.count()
+
+
+def test_near_dedup_stage(stages):
+    before, after = stages[2]
+    rows = before.select("doc_id", "text").collect()
+    fps = np.array([simhash_trie.fingerprint(r["text"]) for r in rows], np.uint64)
+    u, v = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
+    roots = simhash_trie.local_roots(len(rows), u, v)
+    least = {}
+    for r, k in zip(rows, roots, strict=True):
+        least[k] = min(r["doc_id"], least.get(k, r["doc_id"]))
+    assert ids(after) == sorted(least.values())
+
+
+def test_secret_stage(stages):
+    before, after = stages[3]
+    expected = {r["doc_id"]: secret_scan.redact(r["text"], secret_scan.scan(r["text"])[1]) for r in before.collect()}
+    got = {r["doc_id"]: r for r in after.collect()}
+    assert {i: r["text"] for i, r in got.items()} == expected
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert not any(secret_scan.scan(t)[0] for t in expected.values())
+    assert sum(t != r["text"] for t, r in zip(map(expected.get, (r["doc_id"] for r in before.collect())), before.collect(), strict=True)) > 5
+
+
+def test_packing_stage(stages):
+    before, after = stages[4]
+    encoder = packing.Encoder()
+    lengths = {r["doc_id"]: len(encoder.encode([r["text"]])[0]) // 4 + 1 for r in before.collect()}
+    got = {}
+    for r in after.collect():
+        assert r["doc_tokens"] == lengths[r["doc_id"]]
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == lengths
+
+
+def test_awkward_rows(spark):
+    """Null, empty and repeated rows, a clashing column, an empty table."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["the and of it " * 20, "der die das und " * 20, None, "", "a"]), "en", "s", 1, 0.5) for i in range(40)]
+    rows += [rows[0], rows[0], (None, "no id " * 30, None, None, None, None), (None, "no id " * 30, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    for table in (df, df.where("false")):
+        docs = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == df.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
