@@ -77,8 +77,16 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(high == 0, 1.0).when((low == 0) | (low < least * high), 0.0).otherwise(both)
 
 
-def with_next(df: DataFrame, carried: list[str]) -> DataFrame:
-    """df (with doc_id and text) and next_<c> for each carried column, of the next row by descending doc_id (null last, ties by text); after the last comes the first.
+def _count_above(falling: list[float], value: Column, block: int = 64) -> Column:
+    """How many of the falling numbers are over value: whole blocks by their last number, then inside one block."""
+    array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.expr("cast(array() as array<double>)")
+    over = lambda xs: F.size(F.filter(xs, lambda b: b > value))
+    blocks = over(array(falling[block - 1 :: block]))
+    return blocks * block + over(F.slice(array(falling), blocks * block + 1, F.lit(block)))
+
+
+def with_next(df: DataFrame, carried: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+    """df (with doc_id and text), the columns of ``made`` (computed after the shuffle) and next_<c> for each carried column, of the next row by descending doc_id (null last, ties by text); after the last comes the first.
 
     Rows are dealt into ranges of ids, as many as shuffle partitions; the first
     row of each range also goes to the range before it, so one shuffle on the
@@ -89,9 +97,8 @@ def with_next(df: DataFrame, carried: list[str]) -> DataFrame:
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
     bounds = sorted(set(ids.approxQuantile("d", [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
-    array = F.array(*map(F.lit, bounds)) if bounds else F.expr("cast(array() as array<double>)")
     last = len(bounds) + 1
-    place = F.when(F.col("doc_id").isNull(), last).otherwise(F.size(F.filter(array, lambda b: b > F.col("doc_id").cast("double"))))
+    place = F.when(F.col("doc_id").isNull(), last).otherwise(_count_above(sorted(bounds, reverse=True), F.col("doc_id").cast("double")))
     firsts = {r["r"]: r["f"] for r in df.select(place.alias("r"), "doc_id").groupBy("r").agg(F.max("doc_id").alias("f")).collect()}
     used = sorted(firsts)
     before = {r: used[i - 1] for i, r in enumerate(used)}
@@ -103,17 +110,46 @@ def with_next(df: DataFrame, carried: list[str]) -> DataFrame:
     first = F.col("doc_id").eqNullSafe(F.get(first_of, here))
     targets = F.when(first, F.array(target(here, 0), target(F.get(range_before, here), 1))).otherwise(F.array(target(here, 0)))
     dealt = df.withColumn("_r", place).withColumn("_t", F.explode(targets)).withColumn("_r", F.col("_t.r")).withColumn("_x", F.col("_t.extra")).drop("_t")
+    dealt = dealt.repartition("_r").withColumns(made or {})
     w = Window.partitionBy("_r").orderBy("_x", F.col("doc_id").desc_nulls_last(), F.col("text"))
     out = dealt.withColumn("_n", F.lead(F.struct(*carried)).over(w)).where("_x = 0")
-    return out.select(*df.columns, *(F.col(f"_n.{c}").alias(f"next_{c}") for c in carried))
+    return out.select(*df.columns, *(made or {}), *(F.col(f"_n.{c}").alias(f"next_{c}") for c in carried))
 
 
 def edited_and_next(df: DataFrame) -> DataFrame:
     """doc_id, text, signatures, edited (the last third replaced by the next text's beginning), edited_signatures, next_signatures."""
     docs = pick(df, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = docs.withColumn("signatures", signatures(F.col("text")))
-    linked = with_next(signed, ["text", "signatures"])
+    linked = with_next(docs, ["text", "signatures"], {"signatures": signatures(F.col("text"))})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     return linked.withColumn("edited", edited).drop("next_text").withColumn("edited_signatures", signatures(F.col("edited")))
+
+
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): class1, class2, likeness of all classes whose sets reach the threshold, and doc_id with its class.
+
+    A class is all documents with equal sets, named by its digest, so copies are
+    never paired. Two sets that reach the threshold share one of their rarest
+    ``n - ceil(threshold * n) + 1`` signatures; these prefixes are joined on the
+    signature and the length partition, and lengths prune before sets are
+    compared. An empty set pairs with nothing.
+    """
+    docs = pick(df, "doc_id", "text")
+    signed = docs.select("doc_id", signatures(F.col("text")).alias("signatures")).withColumn("class", digest(F.col("signatures")))
+    members = signed.select("doc_id", "class")
+    classes = signed.groupBy("class").agg(F.first("signatures").alias("signatures")).withColumn("n", F.size("signatures")).where("n > 0")
+    each = classes.select("class", "n", F.explode("signatures").alias("signature"))
+    counts = each.groupBy("signature").agg(F.count(F.lit(1)).alias("documents"))
+    rare = Window.partitionBy("class").orderBy("documents", "signature")
+    prefix = each.join(counts, "signature").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
+    left = prefix.select("signature", "class", "n", part.alias("part")).alias("a")
+    right = prefix.select("signature", "class", "n", F.explode(F.array(part, part - 1)).alias("part")).alias("b")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    fits = (a("n") >= threshold * b("n")) & ((a("n") < b("n")) | (a("n") == b("n")) & (a("class") < b("class")))
+    found = left.join(right, (a("signature") == b("signature")) & (a("part") == b("part")) & fits).select(a("class").alias("x"), b("class").alias("y")).distinct()
+    one = classes.select(F.col("class").alias("x"), F.col("signatures").alias("sx"))
+    two = classes.select(F.col("class").alias("y"), F.col("signatures").alias("sy"))
+    alike = found.join(one, "x").join(two, "y").withColumn("likeness", likeness(F.col("sx"), F.col("sy"), threshold)).where(F.col("likeness") >= threshold)
+    return alike.select(F.least("x", "y").alias("class1"), F.greatest("x", "y").alias("class2"), "likeness"), members
