@@ -15,40 +15,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import language_zstd, packing, secret_scan, simhash_trie, toxicity_fm
-from kinweave.llm.common import append_columns, pick, table, texts, written
+from kinweave.llm.common import append_columns, forget, pick, table, written
 
 #: Names that the stages use for themselves while they run.
 _OWN = "_kinweave_"
+#: So many ids (16 MB) are broadcast at most.
+BROADCAST_IDS = 2_000_000
 
 
-def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], verdict: str, drop: F.Column) -> DataFrame:
-    """docs without the rows that a narrow operator's verdict drops, with the columns of docs."""
+def _judged(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], drop: F.Column) -> DataFrame:
+    """docs without the rows that a narrow operator's verdict drops, with the columns of docs. judge: gets docs under names of our own, and that of the text."""
     names = docs.columns
-    inner = docs.toDF(*(f"{_OWN}{i}" for i in range(len(names))))
-    low = [n.lower() for n in names]
-    inner = inner.withColumn("text", F.col(f"{_OWN}{low.index('text')}"))
-    got = judge(inner)
-    return got.where(~F.coalesce(drop, F.lit(False))).select(*(F.col(f"{_OWN}{i}").alias(n) for i, n in enumerate(names)))
+    own = [f"{_OWN}{i}" for i in range(len(names))]
+    text = own[names.index("text")]
+    got = judge(docs.toDF(*own), text)
+    return got.where(~F.coalesce(drop, F.lit(False))).select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     train = pick(docs, "doc_id", "text", "lang").where(language_zstd.crc_mod(F.col("doc_id"), 4) != 2)
     samples = language_zstd.learn(train)
-    return _judged(docs, lambda d: language_zstd.classify(d, samples), "rejected", F.col("rejected"))
+    return _judged(docs, lambda d, text: language_zstd.classify(d, samples, text=text), F.col("rejected"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = pick(table(spark, sf_dir, "labels"), "doc_id", "toxic").where(toxicity_fm.crc_mod(F.col("doc_id"), 3) != 1)
-    model = toxicity_fm.train(texts(docs).join(ids, "doc_id"))
-    return _judged(docs, lambda d: toxicity_fm.score(d, model), "predicted", F.col("predicted") == 1)
+    labelled = toxicity_fm.sample(docs, table(spark, sf_dir, "labels"))
+    model = toxicity_fm.train(labelled)
+    forget(labelled)
+    return _judged(docs, lambda d, text: toxicity_fm.score(d, model, text=text), F.col("predicted") == 1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose id is null can't stand for a class; of those one stays for each text."""
-    classes = simhash_trie.near_duplicates(docs)
-    stay = written(classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "stay")
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if stay.where("n > 1").take(1):  # an id that several rows have
+    """Rows whose id is null can't stand for a class; of those one stays for each text.
+
+    Up to BROADCAST_IDS ids that go are broadcast, so the texts aren't shuffled;
+    beyond, both sides are shuffled by id.
+    """
+    classes = simhash_trie.near_duplicates(docs).where(F.col("doc_id").isNotNull())
+    stays = F.max(F.col("doc_id") == F.col("component_id"))
+    ids = written(classes.groupBy("doc_id").agg(stays.alias("stays"), F.count(F.lit(1)).alias("n")), "stay")
+    gone = ids.where(~F.col("stays")).select("doc_id")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if ids.where("stays and n > 1").take(1):  # an id that several rows have
         kept = kept.dropDuplicates(["doc_id"])
     unnamed = docs.where(F.col("doc_id").isNull())
     if unnamed.take(1):
@@ -84,5 +93,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
