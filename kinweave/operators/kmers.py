@@ -13,17 +13,28 @@ from ..plans.tables import written
 BLOCK = 64
 
 
-def windows(seq: Column, length: Column, width: int, of=lambda pid, window: window) -> Column:
-    """of(position from 1, window) for every window of width characters; for sequences of width characters or more."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((length - width) / BLOCK).cast("int")), lambda c: F.substring(seq, c * BLOCK + 1, F.lit(BLOCK + width - 1)))
-    inside = lambda text, c: F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: of(c * BLOCK + i, F.substring(text, i, F.lit(width))))
-    return F.flatten(F.transform(blocks, inside))
+def _blocks(seq: Column, length: Column, width: int) -> Column:
+    """Pieces of a sequence that hold the windows of BLOCK starts each."""
+    last = F.floor((length - width) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.struct((c * BLOCK).alias("base"), F.substring(seq, c * BLOCK + 1, F.lit(BLOCK + width - 1)).alias("text")))
+
+
+def windows(seq: Column, length: Column, width: int) -> Column:
+    """An array of all windows of width characters, for sequences of width characters or more."""
+    inside = lambda b: F.transform(F.sequence(F.lit(1), F.length(b["text"]) - width + 1), lambda i: F.substring(b["text"], i, F.lit(width)))
+    return F.flatten(F.transform(_blocks(seq, length, width), inside))
+
+
+def _placed(sequences: DataFrame, seq: Column, length: Column, width: int) -> DataFrame:
+    """sid, pid, window. Blocks are rows first and starts second, so windows are cut in generated code from short strings."""
+    blocks = sequences.select("sid", F.explode(_blocks(seq, length, width)).alias("b")).select("sid", "b.base", "b.text")
+    starts = blocks.select("sid", "base", "text", F.explode(F.sequence(F.lit(1), F.length("text") - width + 1)).alias("i"))
+    return starts.select("sid", (F.col("base") + F.col("i")).cast("long").alias("pid"), F.substring("text", F.col("i"), F.lit(width)).alias("window"))
 
 
 def slide(sequences: DataFrame, k: int, skip: list[str] | None = None) -> DataFrame:
     """sid, pid (1-based), kmer for every window of k characters; windows that match a skip pattern are left out."""
-    placed = windows(F.col("seq"), F.col("len"), k, lambda i, w: F.struct(i.cast("long").alias("pid"), w.alias("kmer")))
-    out = sequences.where(F.col("len") >= k).select("sid", F.explode(placed).alias("w")).select("sid", "w.pid", "w.kmer")
+    out = _placed(sequences.where(F.col("len") >= k), F.col("seq"), F.col("len"), k).withColumnRenamed("window", "kmer")
     return out.where(~filter_out(F.col("kmer"), skip)) if skip else out
 
 
@@ -35,8 +46,8 @@ def distinct_kmers(sequences: DataFrame, k: int) -> DataFrame:
 def with_left(sequences: DataFrame, k: int, sentinel: str = "$") -> DataFrame:
     """sid, pid, kmer and the character before it, the sentinel at the beginning."""
     led = F.concat(F.lit(sentinel), F.col("seq"))
-    placed = windows(led, F.col("len") + 1, k + 1, lambda i, w: F.struct(i.cast("long").alias("pid"), F.substring(w, 2, k).alias("kmer"), F.substring(w, 1, 1).alias("left")))
-    return sequences.where(F.col("len") >= k).select("sid", F.explode(placed).alias("w")).select("sid", "w.*")
+    out = _placed(sequences.where(F.col("len") >= k), led, F.col("len") + 1, k + 1)
+    return out.select("sid", "pid", F.substring("window", 2, k).alias("kmer"), F.substring("window", 1, 1).alias("left"))
 
 
 def distinct_with_left(sequences: DataFrame, k: int, sentinel: str = "$") -> DataFrame:

@@ -13,7 +13,7 @@ from ..sources.fasta import database_stats, from_column
 from ..sources.params import Params
 from ..streaming import dedup
 from . import pipeline
-from .tables import fresh_path
+from .tables import fresh_path, spread
 
 EM = 24
 NAMES = Params(UseTree=True, ExactMatchLength=3, DuplicatesLocal=False, DuplicatesGlobal=True)
@@ -25,7 +25,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return from_column(_read(spark, sf, "documents"), "doc_id", "text")
+    return from_column(spread(_read(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:
