@@ -1,10 +1,11 @@
 """Token counts of whole texts by overlap resynchronisation (operator 1).
 
-A text of up to ``chunk`` characters is encoded at once. A huge text is encoded
-in overlapping chunks with offsets; neighbours are spliced at a boundary that
-both encodings have and that is proven stable, and the overlap is widened until
-there is one. So memory follows the chunk, not the text, and counts are those
-of the whole text.
+A huge text, of over ``chunk`` characters, is encoded in overlapping chunks with
+offsets; neighbours are spliced at a boundary that both encodings have and that
+is proven stable, and the overlap is widened until there is one. So memory
+follows the chunk, not the text, and counts are those of the whole text. In a
+text of one chunk every run of spaces is such a boundary, so its count is the
+sum of its words', and a distinct word is encoded once while it is cached.
 
 Why a boundary is stable: the pre-tokenizer of the vocabulary only keeps
 matches of runs without white space, its normaliser composes nothing across
@@ -26,17 +27,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import append_columns
+from .packing import byte_signs
 
 CHUNK = 32_768
 OVERLAP = 256
 LIMIT = 2048
+#: Words that a worker keeps the counts of.
+CACHE = 250_000
 FIELDS = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("n_chunks", T.LongType()), ("over_limit", T.BooleanType())]
 
 _DIGITS = frozenset("0123456789")
+# Fixed value: the vocabulary's own pattern.
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _WordCounts(dict):
+    """Tokens by word, from the library's model on each piece of the word; emptied when it is full."""
+
+    def __init__(self, model):
+        import regex
+
+        self.model, self.pieces, self.signs = model, regex.compile(_PIECE).findall, byte_signs()
+
+    def __missing__(self, word: str) -> int:
+        got = sum(len(self.model.tokenize(p.encode().decode("latin-1").translate(self.signs))) for p in self.pieces(word))
+        if len(word) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = got
+        return got
 
 
 class ChunkCounter:
-    """Counts tokens as the library would on the whole text."""
+    """Counts tokens as the library would on the whole text. The words' counts last as long as the worker process."""
+
+    _shared: dict[str, _WordCounts] = {}
 
     def __init__(self, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,17 +77,48 @@ class ChunkCounter:
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.marks = sorted({s.lower() for s in self.specials})
         self.chunk, self.overlap = chunk, overlap
+        if path not in self._shared:
+            self._shared[path] = _WordCounts(self.lowered.model)
+        self.known = self._shared[path]
 
-    def encode(self, text: str):
-        """One encoding. Below U+0100 lower case is one to one and composed already, so the library's normaliser can be left out there."""
+    def _prepared(self, text: str):
+        """The library's tokenizer for a text, and the text as it gets it. Below U+0100 lower case is one to one and composed already, so the normaliser can be left out there."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.whole.encode(text, add_special_tokens=False)
+            return self.whole, text
         low = text.lower()
         if any(m in low for m in self.marks):
-            return self.whole.encode(text, add_special_tokens=False)
-        return self.lowered.encode(low, add_special_tokens=False)
+            return self.whole, text
+        return self.lowered, low
+
+    def encode(self, text: str):
+        tokenizer, prepared = self._prepared(text)
+        return tokenizer.encode(prepared, add_special_tokens=False)
+
+    def count_all(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """Tokens and chunks of each text.
+
+        A text of one chunk is the sum of its words, as every run of spaces and
+        line ends is a stable boundary; each distinct word is encoded once while
+        it is cached. Outside Latin-1, and with special strings, the library
+        gets the whole text.
+        """
+        out = [(0, 0)] * len(texts)
+        split: dict[int, list[str]] = {}
+        for i, t in enumerate(texts):
+            if t and len(t) > self.chunk:
+                out[i] = self.count(t)
+            elif t:
+                tokenizer, ready = self._prepared(t)
+                if tokenizer is self.whole:
+                    out[i] = len(tokenizer.encode(ready, add_special_tokens=False)), 1
+                else:
+                    split[i] = ready.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        count = self.known.__getitem__
+        for i, words in split.items():
+            out[i] = sum(map(count, words)), 1
+        return out
 
     def count(self, text: str) -> tuple[int, int]:
         """Tokens and chunks."""
@@ -126,7 +182,7 @@ def token_counts(df: DataFrame, path: str | None = None, chunk: int = CHUNK, ove
         counter = ChunkCounter(path, chunk, overlap)
 
         def compute(values: list) -> list[list]:
-            counted = [counter.count(v) if v else (0, 0) for v in values]
+            counted = counter.count_all(values)
             n = [a for a, _ in counted]
             return [[len(v.encode()) if v else 0 for v in values], n, [b for _, b in counted], [x > limit for x in n]]
 
