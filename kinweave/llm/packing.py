@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .byte_bpe import CACHE, Cache, pack_ids
+from .byte_bpe import Cache, pack_ids
 from .common import pick, slices, small_batches
 from .pretokens import pretokens
 
 WINDOW = 2048
 END_ID = 1
+#: Pre-tokens that a worker keeps the ids of.
+CACHE = 400_000
 OUT_ROWS = 1024
 
 
