@@ -32,8 +32,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 STRONG = ["assign", "access", "hex"]
 
 #: Weak parts by role. The last group of a pattern is the span if it has groups.
+#: A run of a secret's letters is tried at its first letter only and without going back, so its length needs no bound.
 _WEAK_ID = re.compile(r"""\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}\b|(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.A)
-_WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,200}?[0-9])(?=[A-Za-z0-9+/_-]{0,200}?[A-Z])(?=[A-Za-z0-9+/_-]{0,200}?[a-z])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])""", re.A)
+_WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])""", re.A)
 _ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?(?:/[^\s\"'<>]*)?|(?<![a-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,10}(?:amazonaws\.com|azure\.com|googleapis\.com|internal)(?::\d+)?", re.A)
 LINKED = ["access_part", "secret_part", "endpoint_part"]
 KINDS = STRONG + LINKED

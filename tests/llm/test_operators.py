@@ -342,6 +342,17 @@ def test_secret_scan(spark, docs, nothing, rows):
     assert secret_scan.scan_secrets(nothing).count() == 0
 
 
+@pytest.mark.parametrize("length", [20, 200, 201, 5000])
+def test_secret_of_any_length(length):
+    secret = ("xY3" * length)[:length]
+    text = f"client_id: bob at https://api.example.com/v1\nkey {secret}=="
+    base, every = secret_scan.scan(text)
+    assert not base and [k for _, _, k in every] == ["access_part", "endpoint_part", "secret_part"]
+    assert secret_scan.redact(text, every) == "client_id: [access_part] at [endpoint_part]\nkey [secret_part]"
+    for other in (secret.lower(), secret.upper(), "xYz" * length, "xY3" * 6, secret + "==="):
+        assert not secret_scan.scan(text.replace(secret + "==", other))[1]
+
+
 def brute_spots(text):
     flat = (text or "").lower().translate({ord(c): " " for c in spot_signatures._SPACES} | {ord(c): None for c in spot_signatures._SIGNS})
     words = [w for w in flat.split(" ") if w]
