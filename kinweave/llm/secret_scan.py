@@ -5,9 +5,10 @@ long hexadecimal runs) and for weak parts of credentials: short or unusual
 access identifiers, secrets that could be any random string, endpoints. A weak
 part is reported only if complementary parts stand in its scope: an identifier
 next to a secret, a secret next to an identifier, an endpoint next to both.
-Scopes are the text between blank lines; inside one, parts link if they are
-within ``reach`` code points. The link is an interval join of sorted positions
-by binary search, so no pairs are made, however many parts a scope holds.
+Scopes are the text between blank lines; inside one, parts link however far
+apart they are, unless the caller bounds that by ``reach`` code points. The link
+is an interval join of sorted positions by binary search, so no pairs are made,
+however many parts a scope holds.
 
 Defined results: null and empty texts have no spans; offsets are code points,
 the end exclusive; a weak part that overlaps a strong match is that match;
@@ -24,8 +25,6 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-REACH = 400
-
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -63,13 +62,15 @@ class _Near:
         self.starts = sorted(a for a, _ in parts)
         self.ends = sorted(b for _, b in parts)
 
-    def has(self, start: int, end: int, reach: int, low: int, high: int) -> bool:
-        """Is there a part in [low, high), at most reach before start or after end?"""
+    def has(self, start: int, end: int, reach: int | None, low: int, high: int) -> bool:
+        """Is there a part in [low, high), before start or after end, at most reach away if that is given?"""
+        if reach is not None:
+            low, high = max(low, start - reach - 1), min(high, end + reach + 1)
         i = bisect.bisect_left(self.starts, end)
-        if i < len(self.starts) and self.starts[i] < min(high, end + reach + 1):
+        if i < len(self.starts) and self.starts[i] < high:
             return True
         i = bisect.bisect_right(self.ends, start) - 1
-        return i >= 0 and self.ends[i] > max(low, start - reach - 1)
+        return i >= 0 and self.ends[i] > low
 
 
 def _free(parts: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,7 +95,7 @@ def _scopes(text: str) -> list[int]:
     return [0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1]
 
 
-def scan(text: str | None, reach: int = REACH) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str | None, reach: int | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The base spans, and all spans."""
     if not text:
         return [], []
@@ -142,7 +143,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 
 
-def scan_secrets(df: DataFrame, reach: int = REACH, keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
+def scan_secrets(df: DataFrame, reach: int | None = None, keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
     """Adds base_spans and all_spans (start, end, kind), and the redacted text if asked for; a narrow step."""
 
     def make():

@@ -353,6 +353,20 @@ def test_secret_of_any_length(length):
         assert not secret_scan.scan(text.replace(secret + "==", other))[1]
 
 
+def test_secret_parts_link_across_a_scope():
+    """However far apart, but not over a blank line."""
+    parts = ["login: bob", "key wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "https://a.example/x"]
+    for gap in (" word" * 100, "\n# a comment" * 3000):
+        kinds = [k for _, _, k in secret_scan.scan(gap.join(parts))[1]]
+        assert kinds == ["access_part", "secret_part", "endpoint_part"]
+        assert not secret_scan.scan((gap + "\n \n" + gap).join(parts))[1]
+    rng = random.Random(12)
+    words = [*parts, "token=abcdefg", "AKIA" + "Q" * 17, "word " * 200, "\n\n"]
+    for _ in range(100):
+        t = " ".join(rng.choices(words, k=rng.randint(1, 20)))
+        assert secret_scan.scan(t)[1] == brute_links(t, secret_scan.scan(t)[0], len(t))
+
+
 def brute_spots(text):
     flat = (text or "").lower().translate({ord(c): " " for c in spot_signatures._SPACES} | {ord(c): None for c in spot_signatures._SIGNS})
     words = [w for w in flat.split(" ") if w]
