@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages, each of which works on all rows that the one before it kept.
 
 Language identification drops what it rejects, toxicity drops what it predicts
-toxic, SimHash keeps the document with the smallest id of each class, the secret
-scan replaces what it finds in the texts, packing returns pieces of sequences.
+toxic, SimHash keeps the row with the smallest id of each class, the secret scan
+replaces what it finds in the texts, packing returns pieces of sequences.
 All but the last return the columns of documents. A table that lacks a column
 of documents gets it as null; further columns of its input stay.
 """
@@ -19,7 +19,7 @@ from kinweave.llm.common import append_columns, forget, pick, table, written
 
 #: Names that the stages use for themselves while they run.
 _OWN = "_kinweave_"
-#: So many ids (16 MB) are broadcast at most.
+#: So many hashes of rows (16 MB) are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
 
@@ -46,23 +46,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose id is null can't stand for a class; of those one stays for each text.
+    """One row of each class: the least by (doc_id, hash of the row), with null ids last.
 
-    Up to BROADCAST_IDS ids that go are broadcast, so the texts aren't shuffled;
-    beyond, both sides are shuffled by id.
+    Classes are those of rows, so rows of one id that hold unrelated texts stand
+    each for their own. Rows are told apart by their hash alone: two that share it
+    are the same row, or both stay if one of them does. Up to BROADCAST_IDS hashes
+    of rows that go are broadcast, so the texts aren't shuffled; beyond, both sides
+    are shuffled by hash.
     """
-    classes = simhash_trie.near_duplicates(docs).where(F.col("doc_id").isNotNull())
+    key = f"{_OWN}row"
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    classes = simhash_trie.near_duplicates(keyed.select(rank.alias("doc_id"), "text"))
     stays = F.max(F.col("doc_id") == F.col("component_id"))
-    ids = written(classes.groupBy("doc_id").agg(stays.alias("stays"), F.count(F.lit(1)).alias("n")), "stay")
-    gone = ids.where(~F.col("stays")).select("doc_id")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if ids.where("stays and n > 1").take(1):  # an id that several rows have
-        kept = kept.dropDuplicates(["doc_id"])
-    unnamed = docs.where(F.col("doc_id").isNull())
-    if unnamed.take(1):
-        kept = kept.unionByName(unnamed.dropDuplicates(["text"]))
-    return kept
+    rows = written(classes.groupBy(F.col("doc_id.row").alias(key)).agg(stays.alias("stays"), F.count(F.lit(1)).alias("n")), "stay")
+
+    def some(which: str) -> tuple[DataFrame, int]:
+        found = rows.where(which).select(key)
+        n = found.count()
+        return (F.broadcast(found) if n <= BROADCAST_IDS else found), n
+
+    gone, _ = some("not stays")
+    again, n_again = some("stays and n > 1")  # rows that are there several times
+    kept = keyed.join(gone, key, "left_anti")
+    if n_again:
+        once = kept.join(again, key, "left_semi").dropDuplicates(docs.columns)
+        kept = kept.join(again, key, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,31 @@ def test_near_dedup_stage(stages):
     assert ids(after) == sorted(least.values())
 
 
+@pytest.mark.parametrize("most", [0, corpus_pipeline.BROADCAST_IDS])
+def test_near_dedup_of_shared_ids(spark, monkeypatch, most):
+    """Rows that share an id, or have none, stand each for their own class; one row of each class stays."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", most)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(30)]
+    rows = [(7, t) for t in texts[:20]]  # one id, twenty unrelated texts
+    rows += [(7, texts[0]), (3, texts[1]), (9, texts[2]), (None, texts[3]), (5, texts[20]), (5, texts[21]), (5, texts[20])]
+    rows += [(None, t) for t in texts[22:26]] + [(None, texts[22]), (None, None), (8, ""), (2, texts[26]), (4, texts[26])]
+    rows = [(i, t, "en", f"s{k}", k, 0.5) for k, (i, t) in enumerate(rows)] + [(2, texts[26], "en", "a", 1, 0.5)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    fps = [simhash_trie.fingerprint(t) for _, t, *_ in rows]
+    least = {}
+    for fp, (i, *_) in zip(fps, rows, strict=True):
+        least[fp] = min((i is None, i or 0), least.get(fp, (True, 0)))
+    assert all((a ^ b).bit_count() > 3 for a in least for b in least if a != b)
+    for parted in (docs, docs.repartition(5, "source")):
+        after = corpus_pipeline.near_dedup(spark, parted, SF)
+        got = sorted(map(tuple, after.collect()), key=str)
+        assert after.columns == docs.columns and set(got) <= set(rows)
+        assert sorted((simhash_trie.fingerprint(t), (i is None, i or 0)) for i, t, *_ in got) == sorted(least.items())
+        first = got if parted is docs else first
+        assert got == first
+
+
 def test_secret_stage(stages):
     before, after = stages[3]
     expected = {r["doc_id"]: secret_scan.redact(r["text"], secret_scan.scan(r["text"])[1]) for r in before.collect()}
