@@ -198,103 +198,6 @@ def train(labelled: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, **more)
     return Model(bits, buckets, bias, w, v)
 
 
-def score(self, features: list[int]) -> float:
-        at = np.array(features, np.int64)
-        v = self.factors[at]
-        z = self.bias + self.weights[at].sum() + 0.5 * float(np.square(v.sum(0)).sum() - np.square(v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows of values by owner."""
-    return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], 1)
-
-
-def fit(rows: list[list[int]], labels: np.ndarray, n: int, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, decay: float = WEIGHT_DECAY, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
-    """Minibatch AdaGrad on the logistic loss."""
-    rng = np.random.default_rng(seed)
-    positive = labels.mean()
-    bias, w, v = float(np.log(positive / (1 - positive))), np.zeros(n), rng.normal(0, 0.02, (n, factors))
-    gw, gv, gb = np.full(n, 1e-6), np.full((n, factors), 1e-6), 1e-6
-    counts = np.array([len(r) for r in rows])
-    ends = np.cumsum(counts)
-    flat = np.concatenate([np.array(r, np.int64) for r in rows]) if counts.sum() else np.zeros(0, np.int64)
-    size = max(16, min(256, len(rows) // 16))
-    for _ in range(max(1, min(epochs, PASSES // len(rows)))):
-        order = rng.permutation(len(rows))
-        for low in range(0, len(rows), size):
-            batch = order[low : low + size]
-            k = counts[batch]
-            owner = np.repeat(np.arange(len(batch)), k)
-            at = flat[np.repeat(ends[batch] - np.cumsum(k), k) + np.arange(k.sum())]
-            own = v[at]
-            sums = _sums(owner, own, len(batch))
-            z = bias + np.bincount(owner, w[at], len(batch)) + 0.5 * (np.square(sums).sum(1) - np.bincount(owner, np.square(own).sum(1), len(batch)))
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)
-            used, place = np.unique(at, return_inverse=True)
-            dw = np.bincount(place, error[owner], len(used)) + decay * w[used]
-            dv = _sums(place, error[owner, None] * (sums[owner] - own), len(used)) + decay * v[used]
-            gb += error.sum() ** 2
-            gw[used] += dw**2
-            gv[used] += dv**2
-            bias -= rate * error.sum() / np.sqrt(gb)
-            w[used] -= rate * dw / np.sqrt(gw[used])
-            v[used] -= 0.2 * rate * dv / np.sqrt(gv[used])
-    return bias, w, v
-
-
-def _hashed_terms(df: DataFrame, bits: int, feature: dict[int, int] | None, keep: list[str]) -> DataFrame:
-    def make() -> Callable[[list], list[list]]:
-        terms = Terms(bits, feature)
-        return lambda values: [[terms.of(v) for v in values]]
-
-    return append_columns(df, make, [("terms", T.ArrayType(T.IntegerType()))], keep=keep)
-
-
-def _bucket_counts(labelled: DataFrame, bits: int) -> DataFrame:
-    """bucket, rows, toxic: a task adds up its own rows first, in two arrays."""
-    small_batches(labelled.sparkSession)
-    source = pick(labelled, "toxic", "text")
-
-    def run(batches):
-        terms = Terms(bits)
-        every, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = terms.of(text)
-                every[at] += 1
-                if label:
-                    toxic[at] += 1
-        used = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(every[used]), pa.array(toxic[used])], ["bucket", "n", "n_toxic"])
-
-    return source.mapInArrow(run, "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-
-
-def train(labelled: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, max_rows: int = MAX_ROWS, **more) -> Model:
-    """A model from doc_id, text, toxic (0 or 1)."""
-    rows = pick(labelled, "doc_id", "text", "toxic").where(F.col("toxic").isin(0, 1))
-    total = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    n, n_toxic = int(total[0]), int(total[1] or 0)
-    if not 0 < n_toxic < n:
-        p = np.clip(n_toxic / max(n, 1), 1e-9, 1 - 1e-9)
-        return Model(bits, [], float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
-    a, b = F.col("n_toxic").cast("double"), F.col("n").cast("double")
-    share = n_toxic / n
-    # Signed root of the score statistic: how far the toxic rows of a bucket are from their expected number.
-    strength = F.abs(a - b * share) / F.sqrt(b * share * (1 - share) + 1)
-    best = _bucket_counts(rows, bits).where(strength >= MIN_STRENGTH).orderBy(strength.desc(), "bucket").limit(n_terms)
-    buckets = sorted(r["bucket"] for r in best.select("bucket").collect())
-    feature = {b: i for i, b in enumerate(buckets)}
-    chosen = _hashed_terms(rows, bits, feature, ["doc_id", "toxic"]).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms").limit(max_rows)
-    sample = chosen.select("terms", "toxic").toArrow()
-    lists, labels = sample.column(0).to_pylist(), np.array(sample.column(1).to_pylist(), float)
-    if labels.min() == labels.max():
-        raise ValueError("the bounded sample has one label only; raise max_rows")
-    bias, w, v = fit(lists, labels, len(buckets), **more)
-    return Model(bits, buckets, bias, w, v)
-
-
 def score(df: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Adds score and predicted; a narrow step. The model (under 1 MB at the default bounds) goes along with the task."""
     bits, buckets, bias, w, v = model.bits, model.buckets, model.bias, model.weights, model.factors
