@@ -39,8 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = toxicity_fm.sample(docs, table(spark, sf_dir, "labels"))
-    model = toxicity_fm.train(labelled)
+    labelled = toxicity_fm.labelled_terms(docs, table(spark, sf_dir, "labels"))
+    model = toxicity_fm.learn(labelled)
     forget(labelled)
     return _judged(docs, lambda d, text: toxicity_fm.score(d, model, text=text), F.col("predicted") == 1)
 

@@ -7,12 +7,13 @@ buckets of the text, the product of their factor vectors: an insult counts more
 next to a group's name than alone. The sum over pairs takes one pass,
 (|sum v|^2 - sum |v|^2) / 2.
 
-Learning: the ``max_rows`` labelled training rows with the smallest hash of the
-id are the sample, at every size; being bounded, their ids are broadcast, and no
-text is shuffled. The counts of each bucket over the sample are summed with a
-partial aggregate (at most ``2**bits`` sums); the ``n_terms`` buckets that tell
-the labels apart best are features. The machine is fitted on the driver to the
-sample's feature lists, in ``passes`` row visits at most.
+Learning: the buckets of all labelled training rows are counted, a task adding
+up its own rows first (at most ``2**bits`` sums); the ``n_terms`` buckets that
+tell the labels apart best are features. No text is shuffled: up to
+BROADCAST_LABELS labels are broadcast, beyond that the texts' buckets are joined
+to them. The machine is fitted on the driver to the feature lists of the
+``max_rows`` rows with the smallest hash, in PASSES row visits at most; a feature
+that fewer than RARE of those rows have gets its weight from all rows' counts.
 
 Defined results: a null, empty or wordless text scores as the bias does; with no
 training rows, or only one label among them, every text scores the share of
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, crc_mod, forget, pick, small_batches, texts, written
+from .common import append_columns, crc_mod, forget, pick, texts, written
 
 BITS = 18
 N_TERMS = 4096
@@ -47,8 +48,14 @@ WEIGHT_DECAY = 1e-6
 THRESHOLD = 0.7
 SEED = 7
 WORD_CACHE = 150_000
-#: A bucket is a feature if its toxic rows are this many standard deviations off their expected number.
+#: A bucket is a feature if its toxic rows are this many standard deviations off their expected number,
+#: or REACHED of what a bucket would be that all toxic rows and no others have, if that is less.
 MIN_STRENGTH = 4.0
+REACHED = 0.75
+#: Rows of the sample below which a feature's weight is its log odds over all rows.
+RARE = 5
+#: So many labels are broadcast at most.
+BROADCAST_LABELS = 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -149,37 +156,42 @@ def _hashed_terms(df: DataFrame, bits: int, feature: dict[int, int] | None, keep
     return append_columns(df, make, [("terms", T.ArrayType(T.IntegerType()))], keep=keep)
 
 
-def _bucket_counts(labelled: DataFrame, bits: int) -> DataFrame:
+def _bucket_counts(hashed: DataFrame, bits: int) -> DataFrame:
     """bucket, rows, toxic: a task adds up its own rows first, in two arrays."""
-    small_batches(labelled.sparkSession)
-    source = pick(labelled, "toxic", "text")
 
     def run(batches):
-        terms = Terms(bits)
         every, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = terms.of(text)
-                every[at] += 1
-                if label:
-                    toxic[at] += 1
+            own = np.diff(batch.column(1).offsets.to_numpy())
+            at = batch.column(1).flatten().to_numpy()
+            every += np.bincount(at, minlength=1 << bits)
+            toxic += np.bincount(at[np.repeat(batch.column(0).to_numpy() == 1, own)], minlength=1 << bits)
         used = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(every[used]), pa.array(toxic[used])], ["bucket", "n", "n_toxic"])
 
+    source = hashed.select(F.col("toxic").cast("int").alias("toxic"), "terms")
     return source.mapInArrow(run, "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
-def sample(df: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most max_rows labelled documents outside one fold of crc32(doc_id), written once."""
+def labelled_terms(df: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, bits: int = BITS) -> DataFrame:
+    """doc_id, toxic, terms (buckets) of all labelled documents outside one fold of crc32(doc_id), written once."""
     rows = pick(labels, "doc_id", "toxic").where((crc_mod(F.col("doc_id"), folds) != held_out) & F.col("toxic").isin(0, 1))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    return written(texts(df).join(F.broadcast(chosen), "doc_id"), "labelled")
+    if rows.count() <= BROADCAST_LABELS:
+        found = _hashed_terms(texts(df).join(F.broadcast(rows), "doc_id"), bits, None, ["doc_id", "toxic"])
+    else:
+        found = _hashed_terms(texts(df), bits, None, ["doc_id"]).join(rows, "doc_id")
+    return written(found.select("doc_id", "toxic", "terms"), "labelled")
 
 
-def train(labelled: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, **more) -> Model:
-    """A model from a bounded table of doc_id, text, toxic (0 or 1)."""
+def train(labelled: DataFrame, bits: int = BITS, **more) -> Model:
+    """A model from doc_id, text, toxic (0 or 1)."""
     rows = pick(labelled, "doc_id", "text", "toxic").where(F.col("toxic").isin(0, 1))
-    total = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    return learn(_hashed_terms(rows, bits, None, ["doc_id", "toxic"]), bits, **more)
+
+
+def learn(hashed: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, max_rows: int = MAX_ROWS, **more) -> Model:
+    """A model from doc_id, toxic, terms: features by all rows, fitted to max_rows of them."""
+    total = hashed.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n, n_toxic = int(total[0]), int(total[1] or 0)
     if not 0 < n_toxic < n:
         p = np.clip(n_toxic / max(n, 1), 1e-9, 1 - 1e-9)
@@ -188,16 +200,40 @@ def train(labelled: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, **more)
     share = n_toxic / n
     # Signed root of the score statistic: how far the toxic rows of a bucket are from their expected number.
     strength = F.abs(a - b * share) / F.sqrt(b * share * (1 - share) + 1)
-    best = _bucket_counts(rows, bits).where(strength >= MIN_STRENGTH).orderBy(strength.desc(), "bucket").limit(n_terms)
-    buckets = sorted(r["bucket"] for r in best.select("bucket").collect())
+    least = min(MIN_STRENGTH, REACHED * n_toxic * (1 - share) / float(np.sqrt(n_toxic * share * (1 - share) + 1)))
+    best = _bucket_counts(hashed, bits).where(strength >= least).orderBy(strength.desc(), "bucket").limit(n_terms)
+    counts = sorted((r["bucket"], r["n"], r["n_toxic"]) for r in best.collect())
+    buckets = [c[0] for c in counts]
     feature = {b: i for i, b in enumerate(buckets)}
-    # In the order of ids, not of partitions: the fit depends on it.
-    got = _hashed_terms(rows, bits, feature, ["doc_id", "toxic"]).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["toxic"], r["terms"]))
-    bias, w, v = fit([r["terms"] for r in got], np.array([r["toxic"] for r in got], float), len(buckets), **more)
+    got = _sampled(hashed, n, max_rows, buckets)
+    lists, labels = [[feature[b] for b in r["terms"]] for r in got], np.array([r["toxic"] for r in got], float)
+    prior = float(np.log(share / (1 - share)))
+    if len(set(labels.tolist())) == 2:
+        bias, w, v = fit(lists, labels, len(buckets), **more)
+    else:  # a sample of one label: all weights come from the counts
+        lists, bias, w, v = [], prior, np.zeros(len(buckets)), np.zeros((len(buckets), FACTORS))
+    if len(lists) < n:
+        every, toxic = (np.array([c[k] for c in counts], float) for k in (1, 2))
+        rare = np.bincount(np.array([f for row in lists for f in row], np.int64), minlength=len(buckets)) < RARE
+        odds = np.log((toxic + 0.5) / (every - toxic + 0.5)) - prior
+        w[rare], v[rare] = odds[rare], 0
     return Model(bits, buckets, bias, w, v)
 
 
+def _sampled(hashed: DataFrame, n: int, max_rows: int, buckets: list[int]) -> list[dict]:
+    """doc_id, toxic and the terms among buckets of the max_rows rows with the smallest hash, in the order of ids, not of partitions: the fit depends on it."""
+    kept = F.array_intersect("terms", F.array(*map(F.lit, buckets)).cast("array<int>"))
+    place = F.pmod(F.xxhash64("doc_id", "terms"), F.lit(1 << 31))
+    rows = hashed.select("doc_id", "toxic", place.alias("place"), kept.alias("terms"))
+    if n > max_rows:
+        # Only a few more rows than are wanted are sorted.
+        rows = rows.where(F.col("place") < int(min(1.0, (1.2 * max_rows + 100) / n) * (1 << 31)))
+        rows = rows.orderBy("place", "doc_id", "toxic", "terms").limit(max_rows)
+    got = rows.select("doc_id", "toxic", "terms").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["toxic"], r["terms"]))
+    return got
+
+
 def score(df: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Adds score and predicted; a narrow step. The model (under 1 MB at the default bounds) goes along with the task."""
     bits, buckets, bias, w, v = model.bits, model.buckets, model.bias, model.weights, model.factors
@@ -217,7 +253,7 @@ def score(df: DataFrame, model: Model, keep: list[str] | None = None, threshold:
 
 def toxicity(df: DataFrame, labels: DataFrame, keep: list[str] | None = None, held_out: int = 1, folds: int = 3, max_rows: int = MAX_ROWS, **more) -> DataFrame:
     """Scores documents by a model of their labelled rows, but for those of one fold of crc32(doc_id)."""
-    labelled = sample(df, labels, held_out, folds, max_rows)
-    model = train(labelled, **more)
+    labelled = labelled_terms(df, labels, held_out, folds, more.get("bits", BITS))
+    model = learn(labelled, max_rows=max_rows, **more)
     forget(labelled)
     return score(df, model, keep)

@@ -433,6 +433,23 @@ def test_toxicity(spark, docs, nothing, rows):
     assert caught > 0.75 and false < 0.02
 
 
+def test_toxicity_of_rare_terms(spark, monkeypatch):
+    """An insult that the sample hardly holds, and a table of few toxic rows."""
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choices(WORDS, k=12))
+    rows = [(i, plain() + (" zorgle" if i % 10 == 0 else " qwibble" if i % 97 == 1 else ""), int(i % 10 == 0 or i % 97 == 1)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    word = lambda model, text: model.score([model.buckets.index(b) for b in toxicity_fm.Terms(toxicity_fm.BITS).of(text) if b in model.buckets])
+    for most in (100, 4000):
+        model = toxicity_fm.train(df, max_rows=most)
+        assert word(model, "zorgle") > 0.7 and word(model, "qwibble") > 0.7 and word(model, "nothing") < 0.3
+    assert word(toxicity_fm.train(df.where("doc_id < 31")), "zorgle") > word(toxicity_fm.train(df.where("doc_id < 31")), "nothing") + 0.3
+    labels = df.select("doc_id", "toxic")
+    one = sorted(toxicity_fm.labelled_terms(df, labels).collect())
+    monkeypatch.setattr(toxicity_fm, "BROADCAST_LABELS", 0)
+    assert sorted(toxicity_fm.labelled_terms(df, labels).collect()) == one and len(one) > 2000
+
+
 def test_machine_learns_a_pair():
     """Neither term alone tells the label, both together do."""
     rng = random.Random(4)
