@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms (operator 4).
 
-A text's terms are its lower-cased words and the words' first four letters, each
-hashed to one of ``2**bits`` buckets; a text has a bucket or it hasn't. The score
-is the logistic function of a bias, a weight for each bucket and, for each two
+A text's terms are its lower-cased words, the words' first four and six letters,
+and the first four letters that REPEATS of its words begin with; each is hashed
+to one of ``2**bits`` buckets, and a text has a bucket or it hasn't. The score is
+the logistic function of a bias, a weight for each bucket and, for each two
 buckets of the text, the product of their factor vectors: an insult counts more
 next to a group's name than alone. The sum over pairs takes one pass,
 (|sum v|^2 - sum |v|^2) / 2.
@@ -15,15 +16,24 @@ to them. The machine is fitted on the driver to the feature lists of the
 ``max_rows`` rows with the smallest hash, in PASSES row visits at most; a feature
 that fewer than RARE of those rows have gets its weight from all rows' counts.
 
+A term that tells nothing alone may tell a lot next to another. So the residuals
+of that fit are summed over the rows of the sample that hold two terms, for each
+two of the features and the ``pair_terms`` commonest other buckets; both terms of
+a pair whose sum is PAIR_STRENGTH deviations off zero become features too, and
+the machine is fitted again. Rows with equal terms and label count once there.
+
 Defined results: a null, empty or wordless text scores as the bias does; with no
 training rows, or only one label among them, every text scores the share of
 toxic training rows (0 without any); a label that is neither 0 nor 1 is left
-out; of several labels of an id each counts.
+out; of several labels of an id each counts. A very long text is read whole, as
+any other; its terms are a set. A column named score or predicted is replaced,
+other columns stay or go as ``keep`` says.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -52,6 +62,13 @@ WORD_CACHE = 150_000
 #: or REACHED of what a bucket would be that all toxic rows and no others have, if that is less.
 MIN_STRENGTH = 4.0
 REACHED = 0.75
+#: A word's beginning is a term of its own for each of these numbers that it begins as many words of the text.
+REPEATS = (2, 3, 5)
+#: Buckets besides the features of which pairs are looked at, the rows that they need at least, and the least strength of a pair.
+PAIR_TERMS = 1024
+PAIR_ROWS = 20
+PAIR_STRENGTH = 7.0
+PAIRS = 256
 #: Rows of the sample below which a feature's weight is its log odds over all rows.
 RARE = 5
 #: So many labels are broadcast at most.
@@ -60,9 +77,17 @@ BROADCAST_LABELS = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_buckets(word: str, bits: int = BITS) -> tuple[int, int]:
+def word_buckets(word: str, bits: int = BITS) -> tuple[int, ...]:
+    """Buckets of a word and of its beginnings."""
     mask = (1 << bits) - 1
-    return xxhash.xxh64_intdigest(word) & mask, xxhash.xxh64_intdigest("^" + word[:4]) & mask
+    names = [word, "^" + word[:4]] if len(word) <= 6 else [word, "^" + word[:4], "^" + word[:6]]
+    return tuple(xxhash.xxh64_intdigest(x) & mask for x in names)
+
+
+def repeat_buckets(word: str, bits: int = BITS) -> tuple[int, ...]:
+    """Buckets of the word's beginning being that of so many words."""
+    mask = (1 << bits) - 1
+    return tuple(xxhash.xxh64_intdigest(f"{k}^{word[:4]}") & mask for k in REPEATS)
 
 
 class Terms:
@@ -70,11 +95,15 @@ class Terms:
 
     def __init__(self, bits: int, feature: dict[int, int] | None = None):
         self.bits, self.feature = bits, feature
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _of_word(self, word: str) -> tuple[int, ...]:
-        pair = word_buckets(word, self.bits)
-        got = pair if self.feature is None else tuple(self.feature[b] for b in pair if b in self.feature)
+        self.cache: dict[str, tuple[tuple[int, ...], tuple[int | None, ...] | None]] = {}
+
+    def _of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int | None, ...] | None]:
+        """The word's own features, and that for each of REPEATS (None if none is wanted)."""
+        own, repeated = word_buckets(word, self.bits), repeat_buckets(word, self.bits)
+        if self.feature is not None:
+            own = tuple(self.feature[b] for b in own if b in self.feature)
+            repeated = tuple(self.feature.get(b) for b in repeated)
+        got = own, repeated if any(r is not None for r in repeated) else None
         if len(self.cache) >= WORD_CACHE:
             self.cache.clear()
         if len(word) <= 64:
@@ -84,14 +113,17 @@ class Terms:
     def of(self, text: str | None) -> list[int]:
         if not text:
             return []
-        words = set(_WORD.findall(text.lower()))
         cache, found = self.cache, set()
-        for w in words:
-            got = cache.get(w)
-            if got is None:
-                got = self._of_word(w)
-            if got:
-                found.update(got)
+        starts: dict[str, list] = {}
+        for w, times in Counter(_WORD.findall(text.lower())).items():
+            own, repeated = cache.get(w) or self._of_word(w)
+            if own:
+                found.update(own)
+            if repeated:
+                seen = starts.setdefault(w[:4], [0, repeated])
+                seen[0] += times
+        for times, repeated in starts.values():
+            found.update(r for k, r in zip(REPEATS, repeated, strict=True) if times >= k and r is not None)
         return sorted(found)
 
 
@@ -110,6 +142,48 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def predicted(rows: list[list[int]], bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Scores of feature lists."""
+    counts = np.array([len(r) for r in rows])
+    at = np.concatenate([np.array(r, np.int64) for r in rows]) if counts.sum() else np.zeros(0, np.int64)
+    out = np.zeros(len(rows))
+    ends = np.cumsum(counts)
+    for low in range(0, len(rows), 1024):
+        own = slice(low, low + 1024)
+        k = counts[own]
+        part = at[ends[low] - k[0] : ends[own][-1]]
+        owner = np.repeat(np.arange(len(k)), k)
+        sums = _sums(owner, v[part], len(k))
+        out[own] = bias + np.bincount(owner, w[part], len(k)) + 0.5 * (np.square(sums).sum(1) - np.bincount(owner, np.square(v[part]).sum(1), len(k)))
+    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
+def pair_features(rows: list[list[int]], labels: np.ndarray, scores: np.ndarray, n: int, old: int, least: float = PAIR_STRENGTH, most: int = PAIRS) -> list[int]:
+    """Terms of 0..n-1 that belong to a strong pair of which one is ``old`` or over.
+
+    A pair's strength is the sum of the residuals of the rows that hold both, in
+    standard deviations of that sum. Rows alike count once.
+    """
+    once: dict[tuple, int] = {}
+    for i, r in enumerate(rows):
+        once.setdefault((labels[i], *r), i)
+    some = sorted(once.values())
+    off, spread = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for low in range(0, len(some), 1024):
+        own = some[low : low + 1024]
+        x = np.zeros((len(own), n), np.float32)
+        for k, i in enumerate(own):
+            x[k, rows[i]] = 1
+        p = scores[own]
+        off += (x * (labels[own] - p).astype(np.float32)[:, None]).T @ x
+        spread += (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
+    strength = np.triu(np.abs(off) / np.sqrt(spread + 1), 1)
+    strength[:old, :old] = 0
+    a, b = np.nonzero(strength >= least)
+    best = np.argsort(-strength[a, b], kind="stable")[:most]
+    return sorted({*a[best].tolist(), *b[best].tolist()})
+
+
 def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows of values by owner."""
     return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], 1)
@@ -189,7 +263,7 @@ def train(labelled: DataFrame, bits: int = BITS, **more) -> Model:
     return learn(_hashed_terms(rows, bits, None, ["doc_id", "toxic"]), bits, **more)
 
 
-def learn(hashed: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, max_rows: int = MAX_ROWS, **more) -> Model:
+def learn(hashed: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, max_rows: int = MAX_ROWS, pair_terms: int = PAIR_TERMS, **more) -> Model:
     """A model from doc_id, toxic, terms: features by all rows, fitted to max_rows of them."""
     total = hashed.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n, n_toxic = int(total[0]), int(total[1] or 0)
@@ -201,23 +275,36 @@ def learn(hashed: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, max_rows:
     # Signed root of the score statistic: how far the toxic rows of a bucket are from their expected number.
     strength = F.abs(a - b * share) / F.sqrt(b * share * (1 - share) + 1)
     least = min(MIN_STRENGTH, REACHED * n_toxic * (1 - share) / float(np.sqrt(n_toxic * share * (1 - share) + 1)))
-    best = _bucket_counts(hashed, bits).where(strength >= least).orderBy(strength.desc(), "bucket").limit(n_terms)
-    counts = sorted((r["bucket"], r["n"], r["n_toxic"]) for r in best.collect())
-    buckets = [c[0] for c in counts]
-    feature = {b: i for i, b in enumerate(buckets)}
-    got = _sampled(hashed, n, max_rows, buckets)
-    lists, labels = [[feature[b] for b in r["terms"]] for r in got], np.array([r["toxic"] for r in got], float)
+    every = written(_bucket_counts(hashed, bits).withColumn("strength", strength), "buckets")
+    strong = every.where(F.col("strength") >= least).orderBy(F.col("strength").desc(), "bucket").limit(n_terms).collect()
+    known = {r["bucket"] for r in strong}
+    # Strong buckets can be among the commonest, so as many more are asked for.
+    common = every.where(F.col("n") >= PAIR_ROWS).orderBy(F.col("n").desc(), "bucket").limit(pair_terms + len(known)).collect()
+    forget(every)
+    counts = [(r["bucket"], r["n"], r["n_toxic"]) for r in sorted(strong)]
+    counts += [(r["bucket"], r["n"], r["n_toxic"]) for r in sorted([r for r in common if r["bucket"] not in known][:pair_terms])]
+    first = {c[0]: i for i, c in enumerate(counts)}
+    got = _sampled(hashed, n, max_rows, list(first))
+    rows, labels = [sorted(first[b] for b in r["terms"]) for r in got], np.array([r["toxic"] for r in got], float)
     prior = float(np.log(share / (1 - share)))
-    if len(set(labels.tolist())) == 2:
-        bias, w, v = fit(lists, labels, len(buckets), **more)
-    else:  # a sample of one label: all weights come from the counts
-        lists, bias, w, v = [], prior, np.zeros(len(buckets)), np.zeros((len(buckets), FACTORS))
+    chosen = list(range(len(strong)))
+    if len(set(labels.tolist())) < 2:  # a sample of one label: all weights come from the counts
+        lists, bias, w, v = [], prior, np.zeros(len(chosen)), np.zeros((len(chosen), FACTORS))
+    else:
+        lists = [[f for f in r if f < len(chosen)] for r in rows]
+        bias, w, v = fit(lists, labels, len(chosen), **more)
+        paired = pair_features(rows, labels, predicted(lists, bias, w, v), len(counts), len(chosen))
+        if any(f >= len(strong) for f in paired):
+            chosen += [f for f in paired if f >= len(strong)]
+            place = {f: i for i, f in enumerate(chosen)}
+            lists = [[place[f] for f in r if f in place] for r in rows]
+            bias, w, v = fit(lists, labels, len(chosen), **more)
     if len(lists) < n:
-        every, toxic = (np.array([c[k] for c in counts], float) for k in (1, 2))
-        rare = np.bincount(np.array([f for row in lists for f in row], np.int64), minlength=len(buckets)) < RARE
-        odds = np.log((toxic + 0.5) / (every - toxic + 0.5)) - prior
+        every_n, toxic = (np.array([counts[f][k] for f in chosen], float) for k in (1, 2))
+        rare = np.bincount(np.array([f for row in lists for f in row], np.int64), minlength=len(chosen)) < RARE
+        odds = np.log((toxic + 0.5) / (every_n - toxic + 0.5)) - prior
         w[rare], v[rare] = odds[rare], 0
-    return Model(bits, buckets, bias, w, v)
+    return Model(bits, [counts[f][0] for f in chosen], bias, w, v)
 
 
 def _sampled(hashed: DataFrame, n: int, max_rows: int, buckets: list[int]) -> list[dict]:

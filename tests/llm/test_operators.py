@@ -430,7 +430,7 @@ def test_toxicity(spark, docs, nothing, rows):
     out = queries.op4_toxicity_fm(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     caught = out.where("toxic = 1").agg(F.avg("predicted")).first()[0]
     false = out.where("toxic = 0").agg(F.avg("predicted")).first()[0]
-    assert caught > 0.75 and false < 0.02
+    assert caught >= 0.9 and false <= 0.005
 
 
 def test_toxicity_of_rare_terms(spark, monkeypatch):
