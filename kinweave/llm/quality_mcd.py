@@ -5,19 +5,31 @@ make a vector, and each language and source gets a minimum-covariance-determinan
 estimate of centre and covariance. A text is kept if its Mahalanobis distance
 is within a chi-square quantile.
 
-The estimate is concentrated over all rows, without a sample: each step sorts
-the rows of a group into a fixed number of distance bins, sums counts, vectors
-and cross products in each bin with a partial aggregate, and takes the bins with
-the smallest distances that hold ``share`` of the rows. Statistics are whole
-thousandths and sums are whole numbers, so results depend neither on the order
-nor on the partitioning of rows. A hot source is only ever summed.
+The estimate is the subset of ``share`` of a group's rows whose covariance has
+the smallest determinant, sought from several deterministic starts (medians with
+quartile scales, the plain moments, spatial signs, and hyperbolic tangents of
+the standardised statistics). A concentration step takes the rows nearest to an
+estimate and estimates again; after FIRST_STEPS of them the BEST starts of each
+group by determinant go on, each until its determinant falls no further, and the
+smallest one is kept. Covariances are made consistent for the normal
+distribution; a ridge of RIDGE of each floor keeps a statistic that never varies
+from making all determinants zero. The verdict alone uses whole FLOORS.
+
+Every step is over all rows, without a sample: it sorts the rows of a group into
+a fixed number of distance bins, sums counts, vectors and cross products in each
+bin with a partial aggregate, and takes the bins with the smallest distances
+that hold ``share`` of the rows. Statistics are whole thousandths and sums are
+whole numbers, so results depend neither on the order nor on the partitioning of
+rows. A hot source is only ever summed.
 
 Sources of a language with under ``min_group`` rows are pooled; if the pool is
 under it as well, it joins the pool of all such languages.
 
 Defined results: a null text has no words; a text without words fails the base
 rule; null languages or sources are groups of their own; equal texts in the same
-group get equal verdicts; an empty table gives an empty result.
+group get equal verdicts; an empty table gives an empty result; very long texts
+are counted whole; ids may be null or repeat; columns that aren't named above, or
+differ by case from those that are, are passed over.
 """
 
 from __future__ import annotations
@@ -37,10 +49,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ["symbols", "dup_lines", "repeats", "upper", "word_length", "line_words"]
 #: The least standard deviation of each statistic, in its own unit: below it a difference says nothing about quality.
 FLOORS = [0.3, 0.08, 0.08, 0.08, 0.15, 0.8]
+RIDGE = 0.1
 SCALE = 1000
 BINS = 512
 SHARE = 0.7
-STEPS = 4
+#: Steps with all starts, and the starts of a group that go on after them.
+FIRST_STEPS = 2
+BEST = 2
+#: A determinant whose logarithm falls by less than this has settled.
+SETTLED = 1e-4
 MIN_GROUP = 200
 QUANTILE = 0.99999
 #: Up to so many groups (some 400 bytes each) their estimates are broadcast; beyond, they are joined by key.
@@ -124,12 +141,62 @@ def chi2_quantile(q: float, p: int) -> float:
 
 
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-_ESTIMATE = T.StructType([T.StructField("k_lang", T.StringType()), T.StructField("k_source", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("precision", T.ArrayType(T.DoubleType()))])
+_ESTIMATE = T.StructType(
+    [
+        T.StructField("k_lang", T.StringType()),
+        T.StructField("k_source", T.StringType()),
+        T.StructField("level", T.IntegerType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("centre", T.ArrayType(T.DoubleType())),
+        T.StructField("precision", T.ArrayType(T.DoubleType())),
+        T.StructField("verdict", T.ArrayType(T.DoubleType())),
+        T.StructField("logdet", T.DoubleType()),
+        T.StructField("moving", T.BooleanType()),
+    ]
+)
 _KEY = ["level", "k_lang", "k_source"]
 
 
-def _same_key(a: DataFrame, b: DataFrame) -> Column:
-    return (a["level"] == b["level"]) & a["k_lang"].eqNullSafe(b["k_lang"]) & a["k_source"].eqNullSafe(b["k_source"])
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance of the verdict: no statistic varies by less than its floor."""
+    out = cov + np.diag(np.square(FLOORS)) * 0.25
+    np.fill_diagonal(out, np.maximum(out.diagonal(), np.square(FLOORS)))
+    return out
+
+
+def ridged(cov: np.ndarray) -> np.ndarray:
+    """The covariance of the search."""
+    return cov + np.diag(np.square(FLOORS)) * RIDGE**2
+
+
+def covariance(n: int, sums: list[int], cross: list[int], scale: int = SCALE) -> np.ndarray:
+    """From whole sums, whole up to the division."""
+    cov = np.zeros((len(sums), len(sums)))
+    for (i, j), c in zip(PAIRS, cross, strict=True):
+        cov[i, j] = cov[j, i] = (n * c - sums[i] * sums[j]) / (n * n * scale**2)
+    return cov
+
+
+def consistency(n: int, rows: int, p: int) -> float:
+    """What the covariance of the nearest n of some rows is of that of all, if they are normal."""
+    part = min(0.9999, n / rows)
+    return chi2_cdf(chi2_quantile(part, p), p + 2) / part
+
+
+def _estimate(key: tuple, start: int, centre: list[float], cov: np.ndarray, known: bool = True) -> tuple:
+    """A row of _ESTIMATE; a start's own determinant isn't that of a subset, so it isn't known."""
+    upper = lambda m: [m[i, j] for i, j in PAIRS]
+    logdet = float(np.linalg.slogdet(ridged(cov))[1]) if known else math.inf
+    return (*key, start, centre, upper(np.linalg.inv(ridged(cov))), upper(np.linalg.inv(floored(cov))), logdet, True)
+
+
+def _key_is(left: list[str], right: list[str]) -> Column:
+    """Equality of (level, lang, source), null-safe but for the level."""
+    (a, *more), (b, *others) = left, right
+    same = F.col(a) == F.col(b)
+    for x, y in zip(more, others, strict=True):
+        same = same & F.col(x).eqNullSafe(F.col(y))
+    return same
 
 
 def _distance() -> Column:
@@ -140,16 +207,16 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _with_estimates(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    right = estimates.toDF("e_lang", "e_source", "e_level", "centre", "precision")
+def _with_estimates(rows: DataFrame, estimates: DataFrame, groups: int, matrix: str = "precision") -> DataFrame:
+    """rows with start, centre and precision of their group."""
+    right = estimates.select(F.col("level").alias("e_level"), F.col("k_lang").alias("e_lang"), F.col("k_source").alias("e_source"), "start", "centre", F.col(matrix).alias("precision"))
     if groups <= BROADCAST_GROUPS:
         right = F.broadcast(right)
-    on = (F.col("level") == F.col("e_level")) & F.col("k_lang").eqNullSafe(F.col("e_lang")) & F.col("k_source").eqNullSafe(F.col("e_source"))
-    return rows.join(right, on, "left").drop("e_lang", "e_source", "e_level")
+    return rows.join(right, _key_is(_KEY, ["e_level", "e_lang", "e_source"]), "left").drop("e_lang", "e_source", "e_level")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Centre and scale of each statistic from its quartiles, exact by histogram."""
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """Start 0, centre and scale of each statistic from its quartiles, exact by histogram."""
     long = rows.select(*_KEY, F.posexplode(F.array(*FEATURES)).alias("f", "v")).groupBy(*_KEY, "f", "v").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*_KEY, "f").orderBy("v")
     at = long.select(*_KEY, "f", "v", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy(*_KEY, "f")).alias("all"))
@@ -164,46 +231,128 @@ def _starts(rows: DataFrame) -> DataFrame:
             for row in pdf.itertuples():
                 centre = [x["q2"] / SCALE for x in row.q]
                 scale = [max((x["q3"] - x["q1"]) / SCALE / 1.349, f) for x, f in zip(row.q, FLOORS, strict=True)]
-                out.append((row.k_lang, row.k_source, row.level, centre, [1 / scale[i] ** 2 if i == j else 0.0 for i, j in PAIRS]))
+                out.append(_estimate((row.k_lang, row.k_source, row.level), 0, centre, np.diag(np.square(scale)), known=False))
             yield pd.DataFrame(out, columns=_ESTIMATE.names)
 
     return grouped.mapInPandas(estimate, _ESTIMATE)
 
 
-def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int, share: float) -> DataFrame:
-    """One concentration step: the estimate from the nearest share of each group's rows, ties whole."""
-    p = len(FEATURES)
-    near = _with_estimates(rows, estimates, groups).withColumn("bin", F.least(F.floor(F.sqrt(_distance()) * 32), F.lit(BINS - 1)))
+def _sums(grouped, extra: list[Column]) -> DataFrame:
     sums = [F.sum(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)]
     cross = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}_{j}") for i, j in PAIRS]
-    bins = near.groupBy(*_KEY, "bin").agg(F.count(F.lit(1)).alias("n"), *sums, *cross)
-    before = F.sum("n").over(Window.partitionBy(*_KEY).orderBy("bin")) - F.col("n")
-    total = F.sum("n").over(Window.partitionBy(*_KEY))
+    return grouped.agg(F.count(F.lit(1)).alias("n"), *extra, *sums, *cross)
+
+
+_SUMS = [f"s{i}" for i in range(len(FEATURES))]
+_CROSS = [f"c{i}_{j}" for i, j in PAIRS]
+
+
+def _whole(row, names: list[str]) -> list[int]:
+    return [int(getattr(row, c)) for c in names]
+
+
+def start_estimates(n: int, sums: list[int], cross: list[int], kind: int, centre: list[float], scale: list[float]) -> tuple[list[float], np.ndarray]:
+    """Centre and covariance of start 1, 2 or 3 from sums of the statistics, of their spatial signs, of their tangents (in thousandths)."""
+    p = len(sums)
+    cov = covariance(n, sums, cross)
+    if kind == 1:
+        return [x / n / SCALE for x in sums], cov
+    if kind == 2:
+        shape = np.zeros((p, p))
+        for (i, j), c in zip(PAIRS, cross, strict=True):
+            shape[i, j] = shape[j, i] = p * c / (n * SCALE**2)
+    else:
+        spread = np.sqrt(np.maximum(cov.diagonal(), 1e-12))
+        shape = cov / np.outer(spread, spread)
+        np.fill_diagonal(shape, 1.0)
+    return list(centre), shape * np.outer(scale, scale)
+
+
+def _starts(rows: DataFrame, groups: int) -> DataFrame:
+    """All starts of each group."""
+    quartiles = written(_quartiles(rows), "quality-start")
+    p = len(FEATURES)
+    # The precision of start 0 is diagonal, so its entries give the scales.
+    diagonal = [PAIRS.index((i, i)) for i in range(p)]
+    near = _with_estimates(rows, quartiles, groups)
+    z = [(F.col(f) / SCALE - F.col("centre")[i]) * F.sqrt(F.col("precision")[diagonal[i]]) for i, f in enumerate(FEATURES)]
+    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0")))
+    near = near.select(*_KEY, "centre", "precision", *FEATURES, *(x.alias(f"z{i}") for i, x in enumerate(z))).withColumn("norm", norm)
+    sign = [F.when(F.col("norm") > 0, F.round(F.col(f"z{i}") / F.col("norm") * SCALE)).otherwise(0).cast("long") for i in range(p)]
+    tangent = [F.round(F.tanh(f"z{i}") * SCALE).cast("long") for i in range(p)]
+    kinds = [F.struct(F.lit(k).alias("kind"), *(x.alias(f) for x, f in zip(xs, FEATURES, strict=True))) for k, xs in ((1, [F.col(f) for f in FEATURES]), (2, sign), (3, tangent))]
+    each = near.select(*_KEY, "centre", "precision", F.explode(F.array(*kinds)).alias("x")).select(*_KEY, "centre", "precision", "x.*")
+    summed = _sums(each.groupBy(*_KEY, "kind"), [F.first("centre").alias("centre"), F.first("precision").alias("precision")])
+
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                scale = [1 / math.sqrt(row.precision[k]) for k in diagonal]
+                centre, cov = start_estimates(int(row.n), _whole(row, _SUMS), _whole(row, _CROSS), row.kind, [float(x) for x in row.centre], scale)
+                out.append(_estimate((row.k_lang, row.k_source, row.level), row.kind, centre, cov, known=False))
+            yield pd.DataFrame(out, columns=_ESTIMATE.names)
+
+    made = written(quartiles.unionByName(summed.mapInPandas(estimate, _ESTIMATE)), "quality-starts")
+    forget(quartiles)
+    return made
+
+
+def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int, share: float) -> DataFrame:
+    """One concentration step of the estimates that move: each again from the nearest share of its group's rows, ties whole."""
+    p = len(FEATURES)
+    key = [*_KEY, "start"]
+    near = _with_estimates(rows, estimates, groups).where("start is not null").withColumn("bin", F.least(F.floor(F.sqrt(_distance()) * 32), F.lit(BINS - 1)))
+    bins = _sums(near.groupBy(*key, "bin"), [])
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("bin")) - F.col("n")
+    total = F.sum("n").over(Window.partitionBy(*key))
     inside = bins.withColumn("_before", before).withColumn("_all", total).where(F.col("_before") < F.ceil(share * F.col("_all")))
-    names = [f"s{i}" for i in range(p)] + [f"c{i}_{j}" for i, j in PAIRS]
-    kept = inside.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.max("_all").alias("rows"), *[F.sum(F.col(c).cast("decimal(38,0)")).cast("string").alias(c) for c in names])
+    kept = inside.groupBy(*key).agg(F.sum("n").alias("n"), F.max("_all").alias("rows"), *[F.sum(F.col(c).cast("decimal(38,0)")).cast("string").alias(c) for c in [*_SUMS, *_CROSS]])
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
-                n = int(row.n)
-                s = [int(getattr(row, f"s{i}")) for i in range(p)]
-                cov = np.zeros((p, p))
-                for i, j in PAIRS:  # whole numbers up to the division
-                    cov[i, j] = cov[j, i] = (n * int(getattr(row, f"c{i}_{j}")) - s[i] * s[j]) / (n * n * SCALE**2)
-                part = min(0.9999, n / int(row.rows))
-                inner = chi2_cdf(chi2_quantile(part, p), p + 2) / part
-                cov = cov / inner + np.diag(np.square(FLOORS)) * 0.25
-                for i in range(p):
-                    cov[i, i] = max(cov[i, i], FLOORS[i] ** 2)
-                precision = np.linalg.inv(cov)
-                out.append((row.k_lang, row.k_source, row.level, [x / n / SCALE for x in s], [precision[i, j] for i, j in PAIRS]))
+                n, sums = int(row.n), _whole(row, _SUMS)
+                cov = covariance(n, sums, _whole(row, _CROSS)) / consistency(n, int(row.rows), p)
+                out.append(_estimate((row.k_lang, row.k_source, row.level), row.start, [x / n / SCALE for x in sums], cov))
             yield pd.DataFrame(out, columns=_ESTIMATE.names)
 
     return kept.mapInPandas(estimate, _ESTIMATE)
 
 
+def _stepped(rows: DataFrame, estimates: DataFrame, groups: int, share: float) -> DataFrame:
+    """The estimates after a step; one whose determinant falls no further stays as it was, and rests."""
+    names = [f"n_{c}" for c in _ESTIMATE.names]
+    again = _concentrate(rows, estimates.where("moving"), groups, share).toDF(*names)
+    both = estimates.join(again, _key_is([*_KEY, "start"], ["n_level", "n_k_lang", "n_k_source", "n_start"]), "left")
+    better = F.coalesce(F.col("n_logdet") < F.col("logdet") - SETTLED, F.lit(False))
+    pick_ = [F.when(better, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "precision", "verdict", "logdet")]
+    return both.select("k_lang", "k_source", "level", "start", *pick_, better.alias("moving"))
+
+
+def _best(estimates: DataFrame, most: int) -> DataFrame:
+    """The starts of each group with the smallest determinants."""
+    place = F.row_number().over(Window.partitionBy(*_KEY).orderBy("logdet", "start"))
+    return estimates.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def estimates_of(rows: DataFrame, groups: int, share: float = SHARE) -> DataFrame:
+    """The estimate of each group with the smallest determinant that the starts lead to."""
+    now = _starts(rows, groups)
+    step = 0
+    while True:
+        step += 1
+        after = _stepped(rows, now, groups * 4, share)
+        before, now = now, written(_best(after, BEST) if step == FIRST_STEPS else after, "quality-step")
+        forget(before)
+        if step >= FIRST_STEPS and now.where("moving").isEmpty():
+            break
+    best = written(_best(now, 1), "quality-best")
+    forget(now)
+    return best
+
+
 def _keyed(rows: DataFrame, min_group: int) -> tuple[DataFrame, int]:
     """rows with the key of the group that estimates them, and the number of groups."""
     sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -221,22 +370,19 @@ def _keyed(rows: DataFrame, min_group: int) -> tuple[DataFrame, int]:
     return rows.join(right, on).drop("g_lang", "g_source"), n
 
 
-def quality_rules(df: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: int = MIN_GROUP, quantile: float = QUANTILE) -> DataFrame:
+def quality_rules(df: DataFrame, share: float = SHARE, min_group: int = MIN_GROUP, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, the counts, base_failed, the squared distance and kept, a row for each document."""
     counted = with_counts(pick(df, "doc_id", "text", "lang", "source"), keep=["doc_id", "lang", "source"])
     counted = counted.withColumn("lang", F.col("lang").cast("string")).withColumn("source", F.col("source").cast("string"))
     rows = written(counted.select("*", *_features()), "quality-counts")
     keyed, groups = _keyed(rows, min_group)
     worded = keyed.where(F.col("n_words") > 0).select(*_KEY, *FEATURES)
-    estimates = written(_starts(worded), "quality-start")
-    for _ in range(steps):
-        before, estimates = estimates, written(_concentrate(worded, estimates, groups, share), "quality-step")
-        forget(before)
+    estimates = estimates_of(worded, groups, share)
     n, r = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < 50) | (100 * r > 50 * n)
     within = F.coalesce(F.col("distance") <= chi2_quantile(quantile, len(FEATURES)), F.lit(False))
     return (
-        _with_estimates(keyed, estimates, groups)
+        _with_estimates(keyed, estimates, groups, "verdict")
         .withColumn("distance", F.when(n > 0, _distance()))
         .select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & within).alias("kept"), "distance")
     )
