@@ -8,12 +8,18 @@ rejected. Letters are lower-cased and everything else becomes a space before.
 
 A dictionary is a bounded sample: training rows are dealt by the hash of their
 id into ``slots``, and the row with the smallest hash in each slot gives a piece
-of ``piece`` letters from its middle. No text is sent but these.
+of ``piece`` letters from its middle. No text is sent but these. Every training
+row takes part, as each competes for its slot; a row that isn't chosen says
+nothing that the 64 others of its language don't. All dictionaries together hold
+``budget`` letters at most: with more languages than fit, each gets fewer slots,
+then shorter pieces, and none is left out.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and rejected; null languages are not learned; without a language to learn all
 texts are ``und``; of equal sizes the language first in order wins, with margin
-0, and the text is rejected.
+0, and the text is rejected. A very long text is compressed whole, a block at a
+time. Columns named like a result are replaced, others stay or go as ``keep``
+says.
 """
 
 from __future__ import annotations
@@ -32,9 +38,12 @@ SLOTS = 64
 PIECE = 1500
 BLOCK = 4096
 LEVEL = 6
-#: A text is rejected if the second smallest size exceeds the smallest by less than this share of it.
+#: A text is rejected if the second smallest size exceeds the smallest by less than this share of it, or than so many bytes
+#: (in a short text one byte is more than the share, and says nothing).
 MARGIN = 0.01
-MAX_LANGUAGES = 400
+MARGIN_BYTES = 2
+#: Letters of all dictionaries together.
+BUDGET = 400 * SLOTS * PIECE
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _ASCII = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else c if c >= 128 else 32 for c in range(256))
@@ -76,18 +85,24 @@ class Classifier:
             return self.languages[0], 1.0, False
         gap = sizes[order[1]] - best
         score = 1 / (1 + sum(float(np.exp(-min(60.0, 40.0 * (s - best) / max(best, 1)))) for i, s in enumerate(sizes) if i != order[0]))
-        return self.languages[order[0]], score, bool(gap < MARGIN * best)
+        return self.languages[order[0]], score, bool(gap < max(MARGIN * best, MARGIN_BYTES))
 
 
-def learn(train: DataFrame, slots: int = SLOTS, piece: int = PIECE, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
-    """A dictionary for each language of doc_id, text, lang. At most slots * piece characters of each language reach the driver."""
+def _shares(languages: int, slots: int, piece: int, budget: int) -> tuple[int, int]:
+    """Slots and piece length such that the dictionaries of so many languages fit the budget."""
+    each = max(1, budget // max(languages, 1))
+    slots = max(1, min(slots, each // piece))
+    return slots, min(piece, max(1, each // slots))
+
+
+def learn(train: DataFrame, slots: int = SLOTS, piece: int = PIECE, budget: int = BUDGET) -> dict[str, bytes]:
+    """A dictionary for each language of doc_id, text, lang. At most ``budget`` letters of all languages together reach the driver (a letter a language at least)."""
     rows = pick(train, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if slots * piece * (languages := rows.select("lang").distinct().count()) > budget:
+        slots, piece = _shares(languages, slots, piece, budget)
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     slot = F.pmod(h, F.lit(slots))
-    least = rows.groupBy("lang", slot.alias("slot")).agg(F.min(h).alias("h"))
-    chosen = [(r["lang"], r["h"]) for r in least.select("lang", "h").limit(slots * max_languages + 1).collect()]
-    if len(chosen) > slots * max_languages:
-        raise ValueError(f"over {max_languages} languages; raise max_languages")
+    chosen = [(r["lang"], r["h"]) for r in rows.groupBy("lang", slot.alias("slot")).agg(F.min(h).alias("h")).select("lang", "h").collect()]
     if not chosen:
         return {}
     wanted = sorted({x for _, x in chosen})
