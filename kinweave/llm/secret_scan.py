@@ -12,7 +12,9 @@ however many parts a scope holds.
 
 Defined results: null and empty texts have no spans; offsets are code points,
 the end exclusive; a weak part that overlaps a strong match is that match;
-overlapping weak parts of a kind are the leftmost.
+overlapping weak parts of a kind are the leftmost. A very long text is scanned
+whole, in work that grows with its length; a null id is an id like any other;
+columns named like a result are replaced, others stay or go as ``keep`` says.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 STRONG = ["assign", "access", "hex"]
 
 #: Weak parts by role. The last group of a pattern is the span if it has groups.
-#: A run of a secret's letters is tried at its first letter only and without going back, so its length needs no bound.
+#: A run of a secret's letters is tried at its first letter only and without going back, so its length needs no bound;
+#: an equals sign may stand before it, as in KEY=value.
 _WEAK_ID = re.compile(r"""\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}\b|(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.A)
-_WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])""", re.A)
-_ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?(?:/[^\s\"'<>]*)?|(?<![a-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,10}(?:amazonaws\.com|azure\.com|googleapis\.com|internal)(?::\d+)?", re.A)
+_WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])""", re.A)
+_ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?(?:/[^\s\"'<>]*)?|(?<![a-z0-9.-])(?:[a-z0-9-]+\.)+(?:amazonaws\.com|azure\.com|googleapis\.com|internal)(?![a-z0-9-])(?::\d+)?", re.A)
 LINKED = ["access_part", "secret_part", "endpoint_part"]
 KINDS = STRONG + LINKED
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
