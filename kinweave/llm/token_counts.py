@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 from .packing import byte_signs
 
-CHUNK = 32_768
+CHUNK = 8192
 OVERLAP = 256
 LIMIT = 2048
 #: Words that a worker keeps the counts of.
