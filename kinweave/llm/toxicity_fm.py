@@ -39,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ REACHED = 0.75
 #: A word's beginning is a term of its own for each of these numbers that it begins as many words of the text.
 REPEATS = (2, 3, 5)
 #: Buckets besides the features of which pairs are looked at, the rows that they need at least, and the least strength of a pair.
-PAIR_TERMS = 1024
+PAIR_TERMS = 512
 PAIR_ROWS = 20
 PAIR_STRENGTH = 7.0
 PAIRS = 256
@@ -96,6 +97,8 @@ class Terms:
     def __init__(self, bits: int, feature: dict[int, int] | None = None):
         self.bits, self.feature = bits, feature
         self.cache: dict[str, tuple[tuple[int, ...], tuple[int | None, ...] | None]] = {}
+        #: Words without any feature.
+        self.dull: set[str] = set()
 
     def _of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int | None, ...] | None]:
         """The word's own features, and that for each of REPEATS (None if none is wanted)."""
@@ -104,10 +107,14 @@ class Terms:
             own = tuple(self.feature[b] for b in own if b in self.feature)
             repeated = tuple(self.feature.get(b) for b in repeated)
         got = own, repeated if any(r is not None for r in repeated) else None
-        if len(self.cache) >= WORD_CACHE:
+        if len(self.cache) + len(self.dull) >= WORD_CACHE:
             self.cache.clear()
+            self.dull.clear()
         if len(word) <= 64:
-            self.cache[word] = got
+            if got == ((), None):
+                self.dull.add(word)
+            else:
+                self.cache[word] = got
         return got
 
     def of(self, text: str | None) -> list[int]:
@@ -115,13 +122,14 @@ class Terms:
             return []
         cache, found = self.cache, set()
         starts: dict[str, list] = {}
-        for w, times in Counter(_WORD.findall(text.lower())).items():
+        words = Counter(_WORD.findall(text.lower()))
+        for w in words.keys() - self.dull:
             own, repeated = cache.get(w) or self._of_word(w)
             if own:
                 found.update(own)
             if repeated:
                 seen = starts.setdefault(w[:4], [0, repeated])
-                seen[0] += times
+                seen[0] += words[w]
         for times, repeated in starts.values():
             found.update(r for k, r in zip(REPEATS, repeated, strict=True) if times >= k and r is not None)
         return sorted(found)
@@ -142,38 +150,61 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def predicted(rows: list[list[int]], bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+@dataclass
+class Rows:
+    """Feature lists, one behind another."""
+
+    counts: np.ndarray
+    flat: np.ndarray
+
+    @staticmethod
+    def of(lists: list[list[int]]) -> Rows:
+        counts = np.array([len(r) for r in lists], np.int64)
+        return Rows(counts, np.array([f for r in lists for f in r], np.int64))
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def only(self, place: np.ndarray) -> Rows:
+        """The features whose place is 0 or over, by their places."""
+        at = place[self.flat]
+        owner = np.repeat(np.arange(len(self)), self.counts)
+        return Rows(np.bincount(owner[at >= 0], minlength=len(self)), at[at >= 0])
+
+    def pick(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number in ``which``, and feature, of all features of these rows."""
+        k = self.counts[which]
+        starts = (np.cumsum(self.counts) - self.counts)[which]
+        return np.repeat(np.arange(len(which)), k), self.flat[np.repeat(starts - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+
+
+def predicted(rows: Rows, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Scores of feature lists."""
-    counts = np.array([len(r) for r in rows])
-    at = np.concatenate([np.array(r, np.int64) for r in rows]) if counts.sum() else np.zeros(0, np.int64)
     out = np.zeros(len(rows))
-    ends = np.cumsum(counts)
     for low in range(0, len(rows), 1024):
-        own = slice(low, low + 1024)
-        k = counts[own]
-        part = at[ends[low] - k[0] : ends[own][-1]]
-        owner = np.repeat(np.arange(len(k)), k)
-        sums = _sums(owner, v[part], len(k))
-        out[own] = bias + np.bincount(owner, w[part], len(k)) + 0.5 * (np.square(sums).sum(1) - np.bincount(owner, np.square(v[part]).sum(1), len(k)))
+        which = np.arange(low, min(low + 1024, len(rows)))
+        owner, at = rows.pick(which)
+        sums = _sums(owner, v[at], len(which))
+        out[which] = bias + np.bincount(owner, w[at], len(which)) + 0.5 * (np.square(sums).sum(1) - np.bincount(owner, np.square(v[at]).sum(1), len(which)))
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def pair_features(rows: list[list[int]], labels: np.ndarray, scores: np.ndarray, n: int, old: int, least: float = PAIR_STRENGTH, most: int = PAIRS) -> list[int]:
+def pair_features(rows: Rows, labels: np.ndarray, scores: np.ndarray, n: int, old: int, least: float = PAIR_STRENGTH, most: int = PAIRS) -> list[int]:
     """Terms of 0..n-1 that belong to a strong pair of which one is ``old`` or over.
 
     A pair's strength is the sum of the residuals of the rows that hold both, in
     standard deviations of that sum. Rows alike count once.
     """
+    ends = np.cumsum(rows.counts)
     once: dict[tuple, int] = {}
-    for i, r in enumerate(rows):
-        once.setdefault((labels[i], *r), i)
-    some = sorted(once.values())
+    for i, (end, k) in enumerate(zip(ends.tolist(), rows.counts.tolist(), strict=True)):
+        once.setdefault((labels[i], xxhash.xxh3_128_digest(rows.flat[end - k : end].tobytes())), i)
+    some = np.array(sorted(once.values()), np.int64)
     off, spread = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
     for low in range(0, len(some), 1024):
         own = some[low : low + 1024]
         x = np.zeros((len(own), n), np.float32)
-        for k, i in enumerate(own):
-            x[k, rows[i]] = 1
+        x[rows.pick(own)] = 1
         p = scores[own]
         off += (x * (labels[own] - p).astype(np.float32)[:, None]).T @ x
         spread += (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
@@ -189,23 +220,18 @@ def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], 1)
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, n: int, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, decay: float = WEIGHT_DECAY, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(rows: Rows, labels: np.ndarray, n: int, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, decay: float = WEIGHT_DECAY, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
     """Minibatch AdaGrad on the logistic loss."""
     rng = np.random.default_rng(seed)
     positive = labels.mean()
     bias, w, v = float(np.log(positive / (1 - positive))), np.zeros(n), rng.normal(0, 0.02, (n, factors))
     gw, gv, gb = np.full(n, 1e-6), np.full((n, factors), 1e-6), 1e-6
-    counts = np.array([len(r) for r in rows])
-    ends = np.cumsum(counts)
-    flat = np.concatenate([np.array(r, np.int64) for r in rows]) if counts.sum() else np.zeros(0, np.int64)
     size = max(16, min(256, len(rows) // 16))
     for _ in range(max(1, min(epochs, PASSES // len(rows)))):
         order = rng.permutation(len(rows))
         for low in range(0, len(rows), size):
             batch = order[low : low + size]
-            k = counts[batch]
-            owner = np.repeat(np.arange(len(batch)), k)
-            at = flat[np.repeat(ends[batch] - np.cumsum(k), k) + np.arange(k.sum())]
+            owner, at = rows.pick(batch)
             own = v[at]
             sums = _sums(owner, own, len(batch))
             z = bias + np.bincount(owner, w[at], len(batch)) + 0.5 * (np.square(sums).sum(1) - np.bincount(owner, np.square(own).sum(1), len(batch)))
@@ -283,32 +309,35 @@ def learn(hashed: DataFrame, bits: int = BITS, n_terms: int = N_TERMS, max_rows:
     forget(every)
     counts = [(r["bucket"], r["n"], r["n_toxic"]) for r in sorted(strong)]
     counts += [(r["bucket"], r["n"], r["n_toxic"]) for r in sorted([r for r in common if r["bucket"] not in known][:pair_terms])]
-    first = {c[0]: i for i, c in enumerate(counts)}
-    got = _sampled(hashed, n, max_rows, list(first))
-    rows, labels = [sorted(first[b] for b in r["terms"]) for r in got], np.array([r["toxic"] for r in got], float)
+    place = np.full(1 << bits, -1, np.int32)
+    place[[c[0] for c in counts]] = np.arange(len(counts))
+    rows, labels = _sampled(hashed, n, max_rows, [c[0] for c in counts])
+    rows = rows.only(place)
     prior = float(np.log(share / (1 - share)))
     chosen = list(range(len(strong)))
     if len(set(labels.tolist())) < 2:  # a sample of one label: all weights come from the counts
-        lists, bias, w, v = [], prior, np.zeros(len(chosen)), np.zeros((len(chosen), FACTORS))
+        lists, bias, w, v = Rows.of([]), prior, np.zeros(len(chosen)), np.zeros((len(chosen), FACTORS))
     else:
-        lists = [[f for f in r if f < len(chosen)] for r in rows]
+        own = np.arange(len(counts))
+        lists = rows.only(np.where(own < len(strong), own, -1))
         bias, w, v = fit(lists, labels, len(chosen), **more)
         paired = pair_features(rows, labels, predicted(lists, bias, w, v), len(counts), len(chosen))
         if any(f >= len(strong) for f in paired):
             chosen += [f for f in paired if f >= len(strong)]
-            place = {f: i for i, f in enumerate(chosen)}
-            lists = [[place[f] for f in r if f in place] for r in rows]
+            own = np.full(len(counts), -1)
+            own[chosen] = np.arange(len(chosen))
+            lists = rows.only(own)
             bias, w, v = fit(lists, labels, len(chosen), **more)
     if len(lists) < n:
         every_n, toxic = (np.array([counts[f][k] for f in chosen], float) for k in (1, 2))
-        rare = np.bincount(np.array([f for row in lists for f in row], np.int64), minlength=len(chosen)) < RARE
+        rare = np.bincount(lists.flat, minlength=len(chosen)) < RARE
         odds = np.log((toxic + 0.5) / (every_n - toxic + 0.5)) - prior
         w[rare], v[rare] = odds[rare], 0
     return Model(bits, [counts[f][0] for f in chosen], bias, w, v)
 
 
-def _sampled(hashed: DataFrame, n: int, max_rows: int, buckets: list[int]) -> list[dict]:
-    """doc_id, toxic and the terms among buckets of the max_rows rows with the smallest hash, in the order of ids, not of partitions: the fit depends on it."""
+def _sampled(hashed: DataFrame, n: int, max_rows: int, buckets: list[int]) -> tuple[Rows, np.ndarray]:
+    """Terms among buckets, and labels, of the max_rows rows with the smallest hash, in the order of ids, not of partitions: the fit depends on it."""
     kept = F.array_intersect("terms", F.array(*map(F.lit, buckets)).cast("array<int>"))
     place = F.pmod(F.xxhash64("doc_id", "terms"), F.lit(1 << 31))
     rows = hashed.select("doc_id", "toxic", place.alias("place"), kept.alias("terms"))
@@ -316,9 +345,11 @@ def _sampled(hashed: DataFrame, n: int, max_rows: int, buckets: list[int]) -> li
         # Only a few more rows than are wanted are sorted.
         rows = rows.where(F.col("place") < int(min(1.0, (1.2 * max_rows + 100) / n) * (1 << 31)))
         rows = rows.orderBy("place", "doc_id", "toxic", "terms").limit(max_rows)
-    got = rows.select("doc_id", "toxic", "terms").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["toxic"], r["terms"]))
-    return got
+    got = rows.select("doc_id", "toxic", F.xxhash64("terms").alias("h"), "terms").toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("toxic", "ascending"), ("h", "ascending")]))
+    terms = got.column("terms").combine_chunks()
+    lists = Rows(pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(terms).to_numpy(zero_copy_only=False))
+    return lists, got.column("toxic").to_numpy().astype(float)
 
 
 def score(df: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

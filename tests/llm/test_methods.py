@@ -200,10 +200,10 @@ def test_fit_against_plain_machine():
     rng = random.Random(5)
     rows = [sorted(rng.sample(range(12), rng.randint(0, 6))) for _ in range(120)]
     labels = np.array([float((0 in r and 1 in r) or 2 in r) for r in rows])
-    mine = toxicity_fm.fit(rows, labels, 12, factors=3, epochs=4)
+    mine = toxicity_fm.fit(toxicity_fm.Rows.of(rows), labels, 12, factors=3, epochs=4)
     plain = plain_fit(rows, labels.tolist(), 12, 3, 4, toxicity_fm.RATE, toxicity_fm.WEIGHT_DECAY, toxicity_fm.SEED)
     assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(mine, plain, strict=True))
-    scores = toxicity_fm.predicted(rows, *mine)
+    scores = toxicity_fm.predicted(toxicity_fm.Rows.of(rows), *mine)
     model = toxicity_fm.Model(18, list(range(12)), *mine)
     assert np.allclose(scores, [model.score(r) for r in rows])
 

@@ -458,7 +458,7 @@ def test_machine_learns_a_pair():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         rows.append(sorted([0] * a + [1] * b + [2 + rng.randrange(5)]))
         labels.append(float(a and b))
-    bias, w, v = toxicity_fm.fit(rows, np.array(labels), 7)
+    bias, w, v = toxicity_fm.fit(toxicity_fm.Rows.of(rows), np.array(labels), 7)
     model = toxicity_fm.Model(18, list(range(7)), bias, w, v)
     assert model.score([0, 1, 3]) > 0.9 and max(model.score([0, 3]), model.score([1, 3])) < 0.2
     pairs = lambda f: bias + w[f].sum() + sum(v[i] @ v[j] for i in f for j in f if i < j)
