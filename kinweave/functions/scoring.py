@@ -37,6 +37,41 @@ BLOSUM62 = np.array([
 MATRICES = {"blosum62": BLOSUM62}
 
 
+def parse_matrix(text: str) -> np.ndarray:
+    """A matrix in the usual text form (a line of residues, then a line of scores for each, comments behind #), in the order of RESIDUES.
+
+    A residue that the text lacks scores as its ``*`` does, or as its least score.
+    """
+    lines = [x.split() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+    if not lines or any(len(x) != 1 for x in lines[0]):
+        raise ValueError("a matrix begins with a line of residues")
+    columns, rows = [c.upper() for c in lines[0]], {}
+    for first, *values in lines[1:]:
+        if len(values) != len(columns):
+            raise ValueError(f"the line of {first} has {len(values)} scores, not {len(columns)}")
+        rows[first.upper()] = {c: int(v) for c, v in zip(columns, values, strict=True)}
+    if set(rows) != set(columns):
+        raise ValueError("a matrix has the same residues in lines and columns")
+    least = min(min(r.values()) for r in rows.values())
+    stand = {c: c if c in rows else "*" if "*" in rows else None for c in RESIDUES}
+    return np.array([[least if stand[a] is None or stand[b] is None else rows[stand[a]][stand[b]] for b in RESIDUES] for a in RESIDUES])
+
+
+def match_matrix(match: int, mismatch: int) -> np.ndarray:
+    """One score for equal residues, another for different ones; ``*`` never matches."""
+    out = np.full((len(RESIDUES), len(RESIDUES)), mismatch)
+    np.fill_diagonal(out, match)
+    out[-1, -1] = mismatch
+    return out
+
+
+def register_matrix(name: str, matrix: np.ndarray) -> None:
+    """Makes a matrix known by name."""
+    if np.shape(matrix) != BLOSUM62.shape:
+        raise ValueError(f"a matrix has {len(RESIDUES)} lines and columns")
+    MATRICES[name.lower()] = np.asarray(matrix)
+
+
 def residue_codes() -> np.ndarray:
     """The row of each byte: either case, U as X, anything else (J and O too) as *."""
     codes = np.full(256, RESIDUES.index("*"), np.int64)

@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from ..functions.scoring import MATRICES, residue_codes
 
 NEG = -(1 << 28)
-#: Cells of one diagonal array (pairs times padded length).
+#: Cells of one diagonal array (pairs times padded length of the left), and bytes of the padded codes of the right.
 CELLS = 400_000
+CODES = 4_000_000
 KINDS = ("nw", "sg", "sw")
 
 
@@ -46,17 +47,17 @@ def _batch(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, matrix:
     i_all = np.arange(wide)
     rows = np.arange(pairs)
 
-    def blank(value):
-        return np.full((pairs, wide), value, np.int32)
-
     def border(length):
         return 0 if kind != "nw" or length == 0 else -open_ - (length - 1) * gap
 
-    start = _Track(blank(NEG), blank(0), blank(0))
-    start.s[:, 0] = 0
-    h1, h2 = start, _Track(blank(NEG), blank(0), blank(0))
-    d1 = _Track(blank(NEG), blank(0), blank(0))
-    i1 = _Track(blank(NEG), blank(0), blank(0))
+    def track():
+        return _Track(np.full((pairs, wide), NEG, np.int32), np.zeros((pairs, wide), np.int32), np.zeros((pairs, wide), np.int32))
+
+    # States of this diagonal and the ones before: of each only the cells inside the band and its borders are ever read,
+    # so the arrays are used in turn and never cleared.
+    h, h1, h2 = track(), track(), track()
+    dd, d1, ii, i1 = track(), track(), track(), track()
+    h1.s[:, 0] = 0
     floor = 0 if kind == "sw" else NEG
     best = _Track(np.full(pairs, floor, np.int64), np.zeros(pairs, np.int64), np.zeros(pairs, np.int64))
     place = np.full(pairs, np.iinfo(np.int64).max)
@@ -75,16 +76,13 @@ def _batch(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, matrix:
 
     for d in range(1, m + n + 1):
         low, high = max(1, d - n), min(m, d - 1)
-        h = _Track(blank(NEG), blank(0), blank(0))
-        dd = _Track(blank(NEG), blank(0), blank(0))
-        ii = _Track(blank(NEG), blank(0), blank(0))
         if d <= n:
-            h.s[:, 0] = border(d)
+            h.s[:, 0], h.m[:, 0], h.n[:, 0], dd.s[:, 0] = border(d), 0, 0, NEG
         if d <= m:
-            h.s[:, d] = border(d)
+            h.s[:, d], h.m[:, d], h.n[:, d], ii.s[:, d] = border(d), 0, 0, NEG
         if low <= high:
             now, up = slice(low, high + 1), slice(low - 1, high)
-            ca = a[:, low - 1 : high]
+            ca = a[:, low - 1 : high].astype(np.intp)
             cb = b[:, d - high - 1 : d - low][:, ::-1]
             # Deletion from above, insertion from the left.
             for state, before, at in ((dd, d1, up), (ii, i1, now)):
@@ -128,32 +126,50 @@ def _batch(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, matrix:
                     if len(side):
                         at = d - lb[side]
                         offer(side, h.s[side, at].astype(np.int64), h.m[side, at], h.n[side, at], at.astype(np.int64))
-        h2, h1, d1, i1 = h1, h, dd, ii
+        h, h1, h2 = h2, h, h1
+        dd, d1, ii, i1 = d1, dd, i1, ii
     return best.s, best.m, best.n
 
 
-def align_lists(left: list[str | None], right: list[str | None], kind: str = "sw", matrix: str = "blosum62", open_: int = 10, gap: int = 1, stats_mode: str = "carried") -> np.ndarray:
+def scores_of(matrix: str | np.ndarray) -> np.ndarray:
+    """A matrix by name, or as it is."""
+    if isinstance(matrix, str):
+        if matrix not in MATRICES:
+            raise ValueError(f"no such matrix: {matrix}")
+        matrix = MATRICES[matrix]
+    return np.asarray(matrix).astype(np.int32)
+
+
+def _batches(order: list[int], la: list[int], lb: list[int]) -> Iterator[list[int]]:
+    """Runs of pairs whose padded arrays are bounded on both sides; a single pair may exceed the bounds."""
+    own: list[int] = []
+    widest = longest = 0
+    for k in order:
+        wide, long = max(widest, la[k] + 1), max(longest, lb[k])
+        if own and ((len(own) + 1) * wide > CELLS or (len(own) + 1) * long > CODES):
+            yield own
+            own, wide, long = [], la[k] + 1, lb[k]
+        own.append(k)
+        widest, longest = wide, long
+    if own:
+        yield own
+
+
+def align_lists(left: list[str | None], right: list[str | None], kind: str = "sw", matrix: str | np.ndarray = "blosum62", open_: int = 10, gap: int = 1, stats_mode: str = "carried") -> np.ndarray:
     """Rows of score, matches, length."""
     if kind not in KINDS or stats_mode not in ("carried", "neighbor"):
         raise ValueError(f"no such alignment: {kind}, {stats_mode}")
-    if matrix not in MATRICES:
-        raise ValueError(f"no such matrix: {matrix}")
-    scores = MATRICES[matrix].astype(np.int32)
-    codes = residue_codes()
+    scores = scores_of(matrix)
+    codes = residue_codes().astype(np.int8)
     code = lambda s: codes[np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)]
     a, b = list(map(code, left)), list(map(code, right))
     out = np.zeros((len(a), 3), np.int64)
-    order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
-    at = 0
-    while at < len(order):
-        own = [order[at]]
-        at += 1
-        while at < len(order) and (len(own) + 1) * (len(a[order[at]]) + 1) <= CELLS:
-            own.append(order[at])
-            at += 1
+    # Like lengths of the right side together, so that a long one doesn't pad many short ones.
+    order = sorted(range(len(a)), key=lambda k: (len(a[k]).bit_length(), len(b[k]).bit_length(), len(a[k]), len(b[k])))
+    for own in _batches(order, [len(x) for x in a], [len(x) for x in b]):
         la, lb = (np.array([len(x[k]) for k in own], np.int64) for x in (a, b))
         pad = len(scores) - 1
-        pa_, pb = np.full((len(own), la.max()), pad), np.full((len(own), lb.max()), pad)
+        pa_, pb = np.full((len(own), la.max()), pad, np.int8), np.full((len(own), lb.max()), pad, np.int8)
         for r, k in enumerate(own):
             pa_[r, : la[r]], pb[r, : lb[r]] = a[k], b[k]
         out[own] = np.column_stack(_batch(pa_, pb, la, lb, scores, kind, open_, gap, stats_mode == "carried"))
@@ -163,10 +179,11 @@ def align_lists(left: list[str | None], right: list[str | None], kind: str = "sw
 _FIELDS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("score", "matches", "length")])
 
 
-def align_pairs(pairs: DataFrame, kind: str = "sw", matrix: str = "blosum62", open_: int = 10, gap: int = 1, stats_mode: str = "carried") -> DataFrame:
+def align_pairs(pairs: DataFrame, kind: str = "sw", matrix: str | np.ndarray = "blosum62", open_: int = 10, gap: int = 1, stats_mode: str = "carried") -> DataFrame:
     """pairs with seq1 and seq2 replaced by score, matches, length. Filters belong below this step: it is a barrier for the optimizer."""
-    if kind not in KINDS or matrix not in MATRICES:
-        raise ValueError(f"no such alignment or matrix: {kind}, {matrix}")
+    if kind not in KINDS:
+        raise ValueError(f"no such alignment: {kind}")
+    scores = scores_of(matrix)
     stay = [c for c in pairs.columns if c not in ("seq1", "seq2", "score", "matches", "length")]
     source = pairs.select(*stay, "seq1", "seq2")
     schema = T.StructType([*(source.schema[c] for c in stay), *_FIELDS.fields])
@@ -175,7 +192,7 @@ def align_pairs(pairs: DataFrame, kind: str = "sw", matrix: str = "blosum62", op
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
-                got = align_lists(part.column(len(stay)).to_pylist(), part.column(len(stay) + 1).to_pylist(), kind, matrix, open_, gap, stats_mode)
+                got = align_lists(part.column(len(stay)).to_pylist(), part.column(len(stay) + 1).to_pylist(), kind, scores, open_, gap, stats_mode)
                 columns = [part.column(i) for i in range(len(stay))] + [pa.array(got[:, k], pa.int32()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -183,5 +200,59 @@ def align_pairs(pairs: DataFrame, kind: str = "sw", matrix: str = "blosum62", op
 
 
 def spread_by_cost(pairs: DataFrame, partitions: int) -> DataFrame:
-    """Pairs dealt out so that partitions hold about equal work: each has its share of every order of cost."""
-    return pairs.repartition(partitions, F.xxhash64("id1", "id2"))
+    """pairs (with cost, written: they are read twice) dealt into about so many partitions of like cost, the costliest first.
+
+    Pairs whose costs have the same number of binary digits share partitions, in
+    proportion to the cost of all of them: a sum for each of 64 classes is all that
+    is known of the pairs, and inside a class costs differ by less than a factor of
+    two.
+    """
+    kind = F.length(F.bin(F.greatest(F.col("cost"), F.lit(1))))
+    sums = {r["k"]: float(r["c"]) for r in pairs.groupBy(kind.alias("k")).agg(F.sum(F.col("cost").cast("double") + 1).alias("c")).collect()}
+    total, at, place = sum(sums.values()), 0, F.lit(0)
+    for k in sorted(sums, reverse=True):
+        own = max(1, round(partitions * sums[k] / total))
+        place = F.when(kind == k, at + F.pmod(F.xxhash64("id1", "id2"), F.lit(own))).otherwise(place)
+        at += own
+    return pairs.repartitionById(max(1, at), place.cast("int"))
+
+
+_TABLE = "id1 long, id2 long, i int, j int, score int, matches int, length int"
+
+
+def alignment_tables(pairs: DataFrame, kind: str = "sw", matrix: str | np.ndarray = "blosum62", open_: int = 10, gap: int = 1) -> DataFrame:
+    """The whole table of each pair (id1, id2, seq1, seq2) for diagnosis: i, j, score, matches, length of every cell, borders too. Gap states carry their own counts."""
+    if kind not in KINDS:
+        raise ValueError(f"no such alignment: {kind}")
+    scores = scores_of(matrix)
+
+    def cells(a: np.ndarray, b: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        edge = lambda k: (0 if kind != "nw" or k == 0 else -open_ - (k - 1) * gap, 0, 0)
+        none = (NEG, 0, 0)
+        rows = [[edge(j) for j in range(len(b) + 1)]]
+        down = [none] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            above, row, right = rows[-1], [edge(i)], none
+            for j, y in enumerate(b, 1):
+                moved = []
+                for cell, state in ((above[j], down[j]), (row[j - 1], right)):
+                    source, cost = (cell, open_) if cell[0] - open_ >= state[0] - gap else (state, gap)
+                    moved.append((source[0] - cost, source[1], source[2] + 1))
+                down[j], right = moved
+                corner = above[j - 1]
+                straight = (corner[0] + int(scores[x, y]), corner[1] + int(x == y), corner[2] + 1)
+                best = max((straight, down[j], right), key=lambda c: c[0])  # the first of equals
+                row.append((0, 0, 0) if kind == "sw" and best[0] <= 0 else best)
+            rows.append(row)
+        return rows
+
+    def run(batches):
+        codes = residue_codes()
+        code = lambda s: codes[np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)]
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = [(row["id1"], row["id2"], i, j, *c) for i, line in enumerate(cells(code(row["seq1"]), code(row["seq2"]))) for j, c in enumerate(line)]
+                kinds = [pa.int64()] * 2 + [pa.int32()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _TABLE.split(", ")])
+
+    return pairs.select("id1", "id2", "seq1", "seq2").mapInArrow(run, _TABLE)

@@ -38,9 +38,9 @@ def slide(sequences: DataFrame, k: int, skip: list[str] | None = None) -> DataFr
     return out.where(~filter_out(F.col("kmer"), skip)) if skip else out
 
 
-def distinct_kmers(sequences: DataFrame, k: int) -> DataFrame:
-    """sid, len, kmer once for each sequence; repeats go before the rows are made, so no shuffle is needed."""
-    return sequences.where(F.col("len") >= k).select("sid", "len", F.explode(F.array_distinct(windows(F.col("seq"), F.col("len"), k))).alias("kmer"))
+def distinct_kmers(sequences: DataFrame, k: int, also: list[str] | None = None) -> DataFrame:
+    """sid, len (and further columns), kmer once for each sequence; repeats go before the rows are made, so no shuffle is needed."""
+    return sequences.where(F.col("len") >= k).select("sid", "len", *(also or []), F.explode(F.array_distinct(windows(F.col("seq"), F.col("len"), k))).alias("kmer"))
 
 
 def with_left(sequences: DataFrame, k: int, sentinel: str = "$") -> DataFrame:

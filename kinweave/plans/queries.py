@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, combin
 from ..functions.scoring import BLOSUM62, RESIDUES, letter_scores, residue_index, self_score
-from ..operators import kmers, pairs, suffix
+from ..operators import align, kmers, pairs, suffix
 from ..operators.align import align_pairs
-from ..sources.fasta import database_stats, from_column
+from ..sources.fasta import database_stats, from_column, read_fasta, write_fasta
+from ..sources.pairs import read_pairs, write_pairs
 from ..sources.params import Params
 from ..streaming import dedup
-from . import pipeline
-from .tables import fresh_path, spread
+from . import pipeline, program
+from .tables import fresh_path, numbered, spread, written
 
 EM = 24
 NAMES = Params(UseTree=True, ExactMatchLength=3, DuplicatesLocal=False, DuplicatesGlobal=True)
@@ -32,11 +35,15 @@ def benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return from_column(_read(spark, sf, "benchmark"), "item_id", "text")
 
 
-def part_names(spark: SparkSession, sf: str) -> DataFrame:
-    """The distinct names, numbered from 0 in order; there are a few dozen at any scale."""
+def part_names(spark: SparkSession, sf: str, gaps: bool = False) -> DataFrame:
+    """The distinct names, numbered in order from 0, or by numbers with gaps; there are a few dozen at any scale."""
     names = _read(spark, sf, "part").select("p_name").distinct()
-    numbered = names.select((F.row_number().over(Window.orderBy("p_name")) - 1).cast("long").alias("n"), "p_name")
-    return from_column(numbered, "n", "p_name")
+    n = (F.row_number().over(Window.orderBy("p_name")) - 1).cast("long")
+    return from_column(names.select((n * n + 10 if gaps else n).alias("n"), "p_name"), "n", "p_name")
+
+
+def nations(spark: SparkSession, sf: str) -> DataFrame:
+    return from_column(_read(spark, sf, "nation"), "n_nationkey", "n_name")
 
 
 def seq_index(spark, sf):
@@ -100,10 +107,27 @@ def equal_left_pairs(spark, sf):
     return pairs.equal_left_pairs(benchmark(spark, sf), 6)
 
 
+def exact_match_classes(spark, sf):
+    """The links of exact_match_pairs between classes of equal sequences, each with the number of pairs that it stands for."""
+    docs = documents(spark, sf)
+    return pairs.class_pairs(docs, written(pairs.sequence_classes(docs), "classes"), EM)
+
+
+def sequence_classes(spark, sf):
+    return pairs.sequence_classes(documents(spark, sf)).select("sid", F.col("class").alias("class_id"))
+
+
+def match_groups(spark, sf):
+    """Windows that two documents or more share, and how many do: the links of exact_match_pairs in linear space."""
+    return pairs.match_groups(documents(spark, sf), EM).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tile_counts(spark, sf):
-    found = pairs.tiles(pairs.common_substring_pairs(documents(spark, sf), EM), 100).groupBy("tile").agg(F.count(F.lit(1)).alias("generated"))
-    possible = pairs.possible_per_tile(documents(spark, sf), 100)
-    return possible.join(found, "tile", "left").select("tile", "possible", F.coalesce("generated", F.lit(0)).cast("long").alias("generated"))
+    return pairs.tile_counts(documents(spark, sf), pairs.common_substring_pairs(documents(spark, sf), EM), 100)
+
+
+def possible_per_tile(spark, sf):
+    return pairs.possible_per_tile(documents(spark, sf), 100)
 
 
 def pair_costs(spark, sf):
@@ -148,8 +172,42 @@ def pairs_unseen(spark, sf):
 def dedup_scopes(spark, sf):
     """Occurrences, and pairs left in each scope of duplicate removal."""
     found = pairs.tiles(pairs.maximal_matches(benchmark(spark, sf), 6).select("id1", "id2"), 10)
-    counts = [pairs.deduplicate(found, s).agg(F.count(F.lit(1)).alias("pairs")).select(F.lit(s).alias("scope"), "pairs") for s in ("none", "tile", "global")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    count = lambda rows, s: pairs.deduplicate(rows, s).agg(F.count(F.lit(1)).alias("pairs")).select(F.lit(s).alias("scope"), "pairs")
+    # One partition, so that the scope of a partition is that of all.
+    counts = [count(found, s) for s in ("none", "tile", "global", "process")] + [count(found.coalesce(1), "partition")]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+def file_duplicates(spark, sf):
+    """Occurrences in files of binary records, a file for each third of the ids; pairs, distinct pairs and what is removed of each file."""
+    found = pairs.maximal_matches(benchmark(spark, sf), 6).select("id1", "id2")
+    folder = fresh_path(spark, "pair-files")
+    for k in range(3):
+        write_pairs(found.where(F.col("id1") % 3 == k).coalesce(1), f"{folder}/{k}")
+    read = read_pairs(spark, f"{folder}/*", "part-*").withColumn("file", F.element_at(F.split("file", "/"), -2).cast("long"))
+    stats = pairs.file_duplicates(read)
+    return stats.select("file", "pairs", "kept", "removed", F.round("ratio", 9).alias("ratio"))
+
+
+def pairs_by_range(spark, sf):
+    """Distinct pairs in order by ranges of the first id, as rows with their place in that order."""
+    ordered = written(pairs.sorted_by_range(pairs.maximal_matches(benchmark(spark, sf), 6)), "sorted")
+    return numbered(ordered, "place")
+
+
+def fasta_round_trip(spark, sf):
+    """Documents written as FASTA files and read again: id, length and letters of each record."""
+    folder = fresh_path(spark, "fasta")
+    write_fasta(documents(spark, sf), folder)
+    read = read_fasta(spark, folder)
+    return read.select("id", F.col("len").cast("long").alias("len"), F.sha2("seq", 256).alias("letters"))
+
+
+def fasta_numbers(spark, sf):
+    """The numbers of the records in one file, in its order."""
+    folder = fresh_path(spark, "fasta")
+    write_fasta(part_names(spark, sf).coalesce(1), folder)
+    return read_fasta(spark, folder).select("sid", "id", "seq")
 
 
 def suffix_lengths(spark, sf):
@@ -172,7 +230,7 @@ def stream_first_seen(spark, sf):
     """Pairs of part and supplier as a stream, each once; what the stream has written is the result."""
     folder = fresh_path(spark, "stream")
     stream = spark.readStream.schema("l_partkey long, l_suppkey long").parquet(f"{sf}/lineitem.parque[t]")  # a pattern may name one file as well as a folder
-    seen = dedup.first_seen(stream.select(F.col("l_partkey").alias("id1"), F.col("l_suppkey").alias("id2")))
+    seen = dedup.first_seen(stream.select(F.col("l_partkey").alias("id1"), F.col("l_suppkey").alias("id2")), bounded=True)
     query = seen.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("id1 long, id2 long").parquet(f"{folder}/out")
@@ -184,7 +242,24 @@ def residues(spark, sf):
 
 
 def suffix_table(spark, sf):
-    return suffix.suffix_table(from_column(_read(spark, sf, "nation"), "n_nationkey", "n_name"))
+    return suffix.suffix_table(nations(spark, sf))
+
+
+def suffix_check(spark, sf):
+    return suffix.check_suffix_table(written(suffix.suffix_table(benchmark(spark, sf)), "esa"), benchmark(spark, sf))
+
+
+def tree_dump(spark, sf):
+    return suffix.tree_dump(nations(spark, sf))
+
+
+def tree_stats(spark, sf):
+    stats = suffix.tree_stats(nations(spark, sf))
+    return stats.select("n_leaves", "n_inner", "most_depth", "most_fanout", *(F.round(c, 6).alias(c) for c in ("mean_depth", "mean_fanout")))
+
+
+def packed_offsets(spark, sf):
+    return suffix.packed_offsets(documents(spark, sf))
 
 
 def kmer_boundaries(spark, sf):
@@ -210,10 +285,41 @@ def align_sw(spark, sf):
 
 
 def edges(spark, sf):
+    """Edges of the distinct part names by the tree strategy."""
     found = pipeline.edges(part_names(spark, sf), NAMES)
     return found.select("id1", "id2", *(F.round(c, 9).alias(c) for c in "abc"), "is_edge")
 
 
+def edges_bruteforce(spark, sf):
+    """Edges by the default strategy, all pairs, of sequences whose numbers have gaps."""
+    found = pipeline.edges(part_names(spark, sf, gaps=True), Params())
+    return found.select("id1", "id2", *(F.round(c, 9).alias(c) for c in "abc"), "is_edge")
+
+
+def edges_of_files(spark, sf):
+    """Edges of candidate pairs that were written to binary files and read again."""
+    names, folder = part_names(spark, sf), fresh_path(spark, "pair-files")
+    write_pairs(pipeline.candidates(names, NAMES), folder)
+    found = pipeline.edges_of_files(spark, folder, names, NAMES, "part-*")
+    return found.select("id1", "id2", *(F.round(c, 9).alias(c) for c in "abc"), "is_edge")
+
+
+def program_edges(spark, sf):
+    """The whole program on a FASTA file of the names; the edges as they stand in its CSV files."""
+    folder = fresh_path(spark, "program")
+    write_fasta(part_names(spark, sf).coalesce(1), f"{folder}/in")
+    program.run(spark, NAMES, f"{folder}/in", f"{folder}/out")
+    found = spark.read.schema("id1 long, id2 long, a double, b double, c double").csv(f"{folder}/out/edges")
+    return found.select("id1", "id2", *(F.round(c, 9).alias(c) for c in "abc"))
+
+
+def alignment_tables(spark, sf):
+    """Every cell of the local alignments of the first nations with each other."""
+    names = nations(spark, sf).where("sid < 6")
+    both = pairs.with_sequences(pairs.all_sequence_pairs(names).select("id1", "id2"), names, ["seq"])
+    return align.alignment_tables(both).select("id1", "id2", *(F.col(c).cast("long").alias(c) for c in ("i", "j", "score", "matches", "length")))
+
+
 def align_stats(spark, sf):
     names = part_names(spark, sf)
     return pipeline.align_stats(pipeline.candidates(names, NAMES), names, NAMES)
@@ -233,7 +339,9 @@ QUERIES = {f.__name__: f for f in (
     seq_index, db_stats, kmer_buckets, bucket_stats, kmer_skip, bucket_refine, exact_match_pairs, exact_match_length_filtered, match_occurrences,
     match_occurrences_skip, occurrences_by_pair, longest_match, contamination, equal_left_pairs, tile_counts, pair_costs, cost_by_owner, brute_force,
     selectivity, rank_unrank, probe_pairs, pairs_unseen, residues, suffix_table, kmer_boundaries, align_nw, align_sg, align_sw, edges, align_stats,
-    feature_matrix, benchmark_edges, dedup_scopes, suffix_lengths, all_kmers, edge_labels, stream_first_seen,
+    feature_matrix, benchmark_edges, dedup_scopes, suffix_lengths, all_kmers, edge_labels, stream_first_seen, exact_match_classes, sequence_classes,
+    match_groups, possible_per_tile, file_duplicates, pairs_by_range, fasta_round_trip, fasta_numbers, suffix_check, tree_dump, tree_stats, packed_offsets,
+    edges_bruteforce, edges_of_files, program_edges, alignment_tables,
 )}
 
 
@@ -244,6 +352,8 @@ _DOCS = f"docs as (select doc_id as sid, {_SEQ.format(text='text')} as seq from
 _BENCH = f"bench as (select item_id as sid, {_SEQ.format(text='text')} as seq from benchmark)"
 _NAMES = f"names as (select row_number() over (order by p_name) - 1 as sid, {_SEQ.format(text='p_name')} as seq from (select distinct p_name from part))"
 
+_GAPPED = f"names as (select (n - 1) * (n - 1) + 10 as sid, seq from (select row_number() over (order by p_name) as n, {_SEQ.format(text='p_name')} as seq from (select distinct p_name from part)))"
+
 
 def _slide(source: str, k: int) -> str:
     """Windows of a table: sid, pid, kmer, left."""
@@ -336,17 +446,20 @@ def _aligned_sql(kind: str, pairs_sql: str, source: str) -> str:
                 select *, {gapped('up', 'dp_')} as dd, {gapped('lf', 'ins')} as ii from (
                     select *, h[j + 1] as up, h[j] as nw, cur[j] as lf, d[j + 1] as dp_ from dp where i <= m))))
     ),
-    aligned as (select id1, id2, {answer}.s as score, {answer}.m as matches, {answer}.n as length from dp where i = m + 1)"""
+    aligned as materialized (select id1, id2, {answer}.s as score, {answer}.m as matches, {answer}.n as length from dp where i = m + 1)"""
 
 
 _ALL_NAMES = "(select x.sid as id1, y.sid as id2 from names x join names y on x.sid < y.sid)"
 
 
-def _edges_sql(pairs_sql: str) -> str:
+_LONG_ENOUGH = "100 * least(x.len, y.len) >= 32 * greatest(x.len, y.len)"
+
+
+def _edges_sql(pairs_sql: str, where: str = _LONG_ENOUGH, names: str = _NAMES) -> str:
     """CTEs up to edged: aligned pairs with their ratios and verdict at the default thresholds."""
     score = _self_score("seq")
-    return f"""with recursive {_NAMES}, selves as (select sid, seq, length(seq) as len, cast({score} as bigint) as self from names),
-    wanted as (select p.id1, p.id2 from {pairs_sql} p join selves x on p.id1 = x.sid join selves y on p.id2 = y.sid where 100 * least(x.len, y.len) >= 32 * greatest(x.len, y.len)),
+    return f"""with recursive {names}, selves as materialized (select sid, seq, length(seq) as len, cast({score} as bigint) as self from names),
+    wanted as (select p.id1, p.id2 from {pairs_sql} p join selves x on p.id1 = x.sid join selves y on p.id2 = y.sid where {where}),
     {_aligned_sql('sw', 'wanted', 'names')},
     longer as (select l.*, greatest(x.len, y.len) as max_len, case when x.len > y.len then x.self else y.self end as own, x.len * y.len as cost
         from aligned l join selves x on l.id1 = x.sid join selves y on l.id2 = y.sid),
@@ -355,9 +468,29 @@ def _edges_sql(pairs_sql: str) -> str:
 
 
 def _features_sql() -> str:
+    """Every sequence with the first three, whatever their lengths; a row for each sequence."""
     wide = ", ".join(f"max({v}) filter (where id2 = {j}) as \"{j}_{name}\"" for j in range(3) for v, name in (("a", "alen_maxlen"), ("b", "ndig_alen"), ("c", "score_sscore")))
     probes = "(select x.sid as id1, y.sid as id2 from names x, names y where y.sid < 3)"
-    return f"{_edges_sql(probes)} select id1 as id, {wide}, case when bool_or(is_edge) then 'Homologous' else 'Not' end as class from edged group by id1"
+    return f"{_edges_sql(probes, 'true')} select n.sid as id, {wide}, case when bool_or(coalesce(is_edge, false)) then 'Homologous' else 'Not' end as class from names n left join edged on n.sid = id1 group by n.sid"
+
+
+def _tables_sql() -> str:
+    """A row of cells is the state above the first cell of the next row."""
+    seq = _SEQ.format(text="n_name")
+    first = f"with recursive names as (select cast(n_nationkey as bigint) as sid, {seq} as seq from nation where n_nationkey < 6), {_aligned_sql('sw', _ALL_NAMES, 'names')}"
+    return f"""{first}, lines as (select id1, id2, i - 1 as i, h, unnest(range(0, n + 1)) as j from dp where j = 1)
+    select id1, id2, i, j, cast(h[j + 1].s as bigint) as score, cast(h[j + 1].m as bigint) as matches, cast(h[j + 1].n as bigint) as length from lines"""
+
+
+def _tree_sql() -> str:
+    """All substrings with the ways in which they go on; ends of sequences are ways of their own."""
+    seq = _SEQ.format(text="n_name")
+    return f"""with s as (select cast(n_nationkey as bigint) as sid, {seq} as seq from nation),
+    p as (select sid, seq, unnest(range(1, length(seq) + 1)) as pos from s), w as (select sid, seq, pos, unnest(range(1, length(seq) - pos + 2)) as k from p),
+    ways as (select substr(seq, pos, k) as node, k, case when pos + k <= length(seq) then substr(seq, pos + k, 1) else concat(sid, ':', pos) end as way from w),
+    inner_nodes as (select node, max(k) as depth, count(distinct way) as fanout from ways group by node having count(distinct way) > 1)
+    select (select cast(sum(length(seq)) as bigint) from s) as n_leaves, count(*) as n_inner, max(depth) as most_depth, max(fanout) as most_fanout,
+        round(avg(depth), 6) as mean_depth, round(avg(fanout), 6) as mean_fanout from inner_nodes"""
 
 
 def _stats_sql() -> str:
@@ -393,8 +526,32 @@ ORACLE_SQL = {
         on a.kmer = b.kmer and a.sid < b.sid and a.left_char = b.left_char and a.pid > 1 and b.pid > 1""",
     "tile_counts": f"""with {_DOCS}, b as (select sid // 100 as blk, count(*) as n from docs group by 1),
         possible as (select -1 - blk as tile, n * (n - 1) // 2 as possible from b union all select {_rank('x.blk', 'y.blk')}, x.n * y.n from b x join b y on x.blk < y.blk),
-        found as (select case when id1 // 100 = id2 // 100 then -1 - id1 // 100 else {_rank('id1 // 100', 'id2 // 100')} end as tile, count(*) as generated from {_t1('docs', EM)} group by 1)
-        select tile, possible, coalesce(generated, 0) as generated from possible left join found using (tile)""",
+        found as (select case when id1 // 100 = id2 // 100 then -1 - id1 // 100 else {_rank('id1 // 100', 'id2 // 100')} end as tile, count(*) as generated from {_t1('docs', EM)} group by 1),
+        every as (select tile, possible, generated from possible left join found using (tile))
+        select tile, 1 as tiles, possible, generated from every where generated is not null
+        union all select null, count(*) filter (where generated is null), cast(coalesce(sum(possible) filter (where generated is null), 0) as bigint), 0 from every""",
+    "possible_per_tile": f"""with {_DOCS}, b as (select sid // 100 as blk, count(*) as n from docs group by 1)
+        select -1 - blk as tile, n * (n - 1) // 2 as possible from b union all select {_rank('x.blk', 'y.blk')}, x.n * y.n from b x join b y on x.blk < y.blk""",
+    "sequence_classes": f"with {_DOCS} select sid, min(sid) over (partition by seq) as class_id from docs",
+    "exact_match_classes": f"""with {_DOCS}, c as (select sid, seq, min(sid) over (partition by seq) as class from docs)
+        select x.class as class1, y.class as class2, count(*) as links from
+            (select least(p.c1, p.c2) as class, greatest(p.c1, p.c2) as other, id1, id2 from (select t.id1, t.id2, a.class as c1, b.class as c2 from {_t1('docs', EM)} t join c a on t.id1 = a.sid join c b on t.id2 = b.sid) p) x
+            join (select distinct class from c) y on x.other = y.class group by all""",
+    "match_groups": f"with {_DOCS} select kmer, count(distinct sid) as n from {_slide('docs', EM)} group by kmer having count(distinct sid) > 1",
+    "file_duplicates": f"""with {_BENCH}, o as (select id1 % 3 as file, id1, id2 from {_t2('bench', 6)})
+        select file, count(*) as pairs, count(distinct (id1, id2)) as kept, count(*) - count(distinct (id1, id2)) as removed, round((count(*) - count(distinct (id1, id2))) / count(*), 9) as ratio from o group by file""",
+    "pairs_by_range": f"with {_BENCH} select id1, id2, row_number() over (order by id1, id2) - 1 as place from {_t1('bench', 6)}",
+    "fasta_round_trip": f"with {_DOCS} select '>' || sid as id, length(seq) as len, sha256(seq) as letters from docs where seq <> ''",
+    "fasta_numbers": f"with {_NAMES} select row_number() over (order by sid) - 1 as sid, '>' || sid as id, seq from names where seq <> ''",
+    "suffix_check": "select 0 as missing, 0 as repeated, 0 as unordered, 0 as wrong_lcp",
+    "tree_dump": f"select idx, bwt, sid, pos + 1 as pid, suffix from ({_suffix_sql()})",
+    "tree_stats": _tree_sql(),
+    "packed_offsets": f"""with {_DOCS}, o as (select sid, length(seq) as n, sum(length(seq) + 1) over (order by sid) as upto from docs)
+        select sid, cast(upto - n - 1 as bigint) as begin, cast(upto - 1 as bigint) as "end" from o""",
+    "edges_bruteforce": f"{_edges_sql(_ALL_NAMES, names=_GAPPED)} select id1, id2, a, b, c, is_edge from edged where is_edge",
+    "edges_of_files": f"{_edges_sql(_t1('names', 3))} select id1, id2, a, b, c, is_edge from edged where is_edge",
+    "program_edges": f"{_edges_sql(_t1('names', 3))} select id1, id2, a, b, c from edged where is_edge",
+    "alignment_tables": _tables_sql(),
     "pair_costs": f"with {_DOCS}, {_COSTS} select * from costs",
     "cost_by_owner": f"with {_DOCS}, {_COSTS} select ({_rank('id1', 'id2')}) % 8 as owner, count(*) as pairs, cast(sum(cost) as bigint) as work from costs group by 1",
     "brute_force": f"with {_NAMES} select {_rank('x.sid', 'y.sid')} as pos, x.sid as id1, y.sid as id2, x.seq as seq1, y.seq as seq2 from names x join names y on x.sid < y.sid",
@@ -402,7 +559,7 @@ ORACLE_SQL = {
         select * from p where pos < (select cast(floor(count(*) * 0.25 + 0.5) as bigint) from p)""",
     "rank_unrank": """with k as (select cast(o_orderkey as bigint) as pos from orders), h as (select pos, cast(floor((1 + sqrt(1 + 8.0 * pos)) / 2) as bigint) as id2 from k)
         select pos, pos - id2 * (id2 - 1) // 2 as id1, id2, pos as rank from h""",
-    "probe_pairs": f"with {_NAMES} select x.sid as id1, y.sid as id2 from names x, names y where y.sid < 3",
+    "probe_pairs": f"with {_NAMES} select x.sid as id1, y.sid as id2, y.sid as probe from names x, names y where y.sid < 3",
     "pairs_unseen": f"with {_BENCH} select * from {_t1('bench', 6)} except select * from {_t1('bench', 10)}",
     "residues": _residues_sql(),
     "suffix_table": _suffix_sql(),
@@ -414,7 +571,8 @@ ORACLE_SQL = {
     "feature_matrix": _features_sql(),
     "edge_labels": f"{_edges_sql(_t1('names', 3))} select id1, id2, case when is_edge then 'Edge' else 'NotAnEdge' end as label from edged",
     "dedup_scopes": f"""with {_BENCH}, o as (select id1, id2, case when id1 // 10 = id2 // 10 then -1 - id1 // 10 else {_rank('id1 // 10', 'id2 // 10')} end as tile from {_t2('bench', 6)})
-        select 'none' as scope, count(*) as pairs from o union all select 'tile', count(distinct (tile, id1, id2)) from o union all select 'global', count(distinct (id1, id2)) from o""",
+        select 'none' as scope, count(*) as pairs from o union all select 'tile', count(distinct (tile, id1, id2)) from o
+        union all select unnest(['global', 'process', 'partition']), count(distinct (id1, id2)) from o""",
     "suffix_lengths": f"""with {_DOCS}, l as (select unnest(range(1, length(seq) + 1)) as length from docs)
         select count(*) as n, cast(sum(length) as bigint) as sum, min(length) as least, max(length) as most, round(avg(length), 4) as mean from l""",
     "all_kmers": "select a * 676 + b * 26 + c as bid, chr(cast(65 + a as integer)) || chr(cast(65 + b as integer)) || chr(cast(65 + c as integer)) as kmer from range(26) x(a), range(26) y(b), range(26) z(c)",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -22,7 +23,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again: no lineage before it, and whole after an executor is lost."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kinweave_path = path
+    return table
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a column of consecutive numbers from 0, in the order of partitions and of rows in them.
+
+    Each partition's first number is the sum of the counts before it: a table of a
+    row a partition, which is joined by broadcast and never reaches the driver. The
+    rows must come out of the same partitions each time they are computed, so give
+    rows that were written, or read from files.
+    """
+    tagged = rows.withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", 33)
+    counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    number = (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return tagged.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, number).drop("_m", "_p", "_before")
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_kinweave_path", None):
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import normalized
+from ..plans.tables import numbered
 
 SCHEMA = "sid long, id string, seq string, len int"
 
@@ -30,17 +31,8 @@ def read_fasta(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
-    """Consecutive sids in the order of partitions and rows: one count a partition reaches the driver."""
-    tagged = rows.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    counts = {r["p"]: r["n"] for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, pairs = 0, []
-    for p in sorted(counts):
-        pairs += [F.lit(p), F.lit(offset)]
-        offset += counts[p]
-    shift = F.element_at(F.create_map(*pairs), part) if pairs else F.lit(0)
-    sid = (shift + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
-    return tagged.select(sid.alias("sid"), "id", "seq", F.length("seq").alias("len"))
+    """sid, id, seq, len: consecutive sids in the order of partitions and rows."""
+    return numbered(rows, "sid").select("sid", "id", "seq", F.length("seq").alias("len"))
 
 
 def from_column(df: DataFrame, sid: str, text: str | Column) -> DataFrame:
@@ -62,6 +54,12 @@ def write_fasta(sequences: DataFrame, path: str) -> None:
     sequences.sortWithinPartitions("sid").select(F.concat_ws("\n", "id", "seq").alias("value")).write.mode("overwrite").text(path)
 
 
+def outside_alphabet(sequences: DataFrame, alphabet: str) -> DataFrame:
+    """sid and the letters of a sequence that the alphabet lacks, for those that have any."""
+    letters = F.translate("seq", alphabet, "")
+    return sequences.select("sid", letters.alias("letters")).where("letters <> ''")
+
+
 def file_size(spark: SparkSession, path: str) -> int:
     """Bytes of the files that a path names."""
     files = spark.read.format("binaryFile").load(path).select("length")

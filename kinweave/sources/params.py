@@ -8,6 +8,8 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from ..functions.scoring import MATRICES, parse_matrix, register_matrix
+
 
 def parse_budget(literal: str | int) -> int:
     """Bytes of '512m', '2G', '10k', '7b' or a plain number."""
@@ -57,6 +59,25 @@ class Params:
     SkipTree: bool = False
     PerformAlignments: bool = True
 
+    def checked(self) -> Params:
+        """These parameters, if they name a plan that can run."""
+        _ = self.kind, self.dedup, self.strategy
+        if self.Matrix.lower() not in MATRICES:
+            raise ValueError(f"no such matrix: {self.Matrix}")
+        for name in ("SlideWindowSize", "ExactMatchLength", "SuffixArrayBlockSize"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be 1 or more")
+        if self.SlideWindowSize > self.ExactMatchLength:
+            raise ValueError("SlideWindowSize must not exceed ExactMatchLength: shorter matches would be lost")
+        if self.Open > 0 or self.Gap > 0:
+            raise ValueError("Open and Gap are scores, so they are not over 0")
+        return self
+
+    @property
+    def letters(self) -> str:
+        """The alphabet without its sentinels."""
+        return "".join(c for c in self.Alphabet if c not in (self.AlphabetBegin, self.AlphabetDollar))
+
     @property
     def kind(self) -> str:
         """The alignment that Function names: sw, sg or nw."""
@@ -112,6 +133,11 @@ def load(spark: SparkSession, path: str) -> Params:
     return from_map(yaml.safe_load(text) or {})
 
 
+def load_matrix(spark: SparkSession, name: str, path: str) -> None:
+    """Makes the matrix in a text file known by a name."""
+    register_matrix(name, parse_matrix("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())))
+
+
 def echo(params: Params) -> str:
     import yaml
 

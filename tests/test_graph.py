@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import kmers, pairs, suffix
+from kinweave.operators.align import align_lists
 from kinweave.plans import pipeline
 from kinweave.sources import fasta
 from kinweave.sources import pairs as pair_files
@@ -184,17 +185,26 @@ def test_edges_and_stats(spark):
     loose = pipeline.edges(df, Params(UseTree=True, SkipPrefixes=["W\\{2\\}"], DuplicatesLocal=False, DuplicatesGlobal=True))
     assert as_pairs(loose) == found
     wide = pipeline.features(df, 2, Params()).collect()
-    assert {r["id"]: r["class"] for r in wide} == {0: "Homologous", 1: "Homologous", 2: "Homologous", 3: "Not"} | ({4: "Not"} if len(wide) == 5 else {})
+    assert {r["id"]: r["class"] for r in wide} == {0: "Homologous", 1: "Homologous", 2: "Homologous", 3: "Not", 4: "Not"} and len(wide) == 5
+    for r in wide:
+        for j in range(2):
+            score, matches, length = map(int, align_lists([seqs[r["id"]]], [seqs[j]])[0])
+            most = max(len(seqs[r["id"]]), len(seqs[j]))
+            assert r[f"{j}_alen_maxlen"] == round(length / most, 9) and r[f"{j}_ndig_alen"] == (round(matches / length, 9) if length else None)
 
 
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 4)], "id1 long, id2 long").write.parquet(str(tmp_path / "in"))
-    stream = dedup.first_seen(dedup.read_pair_stream(spark, str(tmp_path / "in")))
+    with pytest.raises(ValueError):
+        dedup.first_seen(dedup.read_pair_stream(spark, str(tmp_path / "in")))
+    stream = dedup.first_seen(dedup.read_pair_stream(spark, str(tmp_path / "in")), bounded=True)
     q = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert as_pairs(spark.table("seen")) == [(1, 2), (3, 4)]
     spark.createDataFrame([(1, "x ABCDEF y"), (2, "nothing")], "n long, t string").write.parquet(str(tmp_path / "docs"))
     docs = dedup.sequence_stream(spark.readStream.schema("n long, t string").parquet(str(tmp_path / "docs")), "n", "t")
-    q = dedup.contamination_stream(docs, table(spark, ["ZABCDEFZ"]), 5).writeStream.format("memory").queryName("dirty").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    with pytest.raises(ValueError):
+        dedup.contaminated(docs, table(spark, ["ZABCDEFZ"]), 5)
+    q = dedup.contaminated(docs, table(spark, ["ZABCDEFZ"]), 5, bounded=True).writeStream.format("memory").queryName("dirty").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r[0] for r in spark.table("dirty").collect()] == [1]

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 SLOW = {"occurrences_by_pair", "pair_costs", "exact_match_length_filtered", "tile_counts"}
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
     c = duckdb.connect()
     for t in ("documents", "benchmark", "part", "nation", "orders", "lineitem"):
