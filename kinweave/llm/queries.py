@@ -65,13 +65,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spot_signatures
-    rows = s.edited_and_next(table(spark, sf_dir, "documents"))
-    return rows.select(
+    docs = table(spark, sf_dir, "documents")
+    rows = s.edited_and_next(docs)
+    out = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         s.digest(F.col("signatures")).alias("fingerprint"), s.digest(F.col("edited_signatures")).alias("edited_fingerprint"),
         s.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), s.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
         F.size("signatures").cast("long").alias("n_signatures"), s.length_partition(F.col("signatures")).alias("length_partition"),
     )
+    return out.join(s.near_classes(docs), "fingerprint").select("doc_id", *(c for c in out.columns if c != "doc_id"), "component_id", "n_members")
 
 
 QUERIES = {f.__name__: f for f in (

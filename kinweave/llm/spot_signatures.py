@@ -4,7 +4,10 @@ A spot signature is an anchor (a very common word) with the chain of the next
 ``CHAIN`` content words; a document's fingerprint is the set of its signatures'
 hashes. Sets are dealt into partitions by length, such that two sets whose
 Jaccard likeness reaches the threshold lie in the same or in adjacent ones; a
-likeness is computed only if the lengths let it reach the threshold.
+likeness is computed only if the lengths, and the rare signatures that two sets
+share, let it reach the threshold (``near_classes``). The likeness of a document
+to its edited text and to the next document is that of the whole sets behind
+their digests, so it is computed whatever it is.
 
 Words are found in one pass over the text: each is marked as anchor or content,
 the marked words are joined and cut at content marks, so the chain of an anchor
@@ -18,11 +21,14 @@ text; two empty sets have likeness 1. Equal texts have equal sets.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pick
+from .common import forget, pick, written
+from .graph import components
 
 # Anchors, common words of English, German, French and Spanish.
 ANCHORS = """
@@ -33,6 +39,15 @@ al como con del el es las los no para por se su una y
 """.split()
 CHAIN = 2
 THRESHOLD = 0.8
+#: Bytes of text in a range of ids, and the ranges there may be.
+RANGE_BYTES = 64 << 20
+MAX_RANGES = 65_536
+#: Buckets that signatures are counted in, to tell common ones from rare ones.
+MOST_BUCKETS = 1 << 20
+#: So many names of documents are broadcast at most.
+BROADCAST_ROWS = 500_000
+#: So many signatures are broadcast at most.
+BROADCAST_SIGNATURES = 2_000_000
 _SIGNS = ".,;:!?\"'()[]{}|*#$%&<>/\\-_+=~`^@"
 _SPACES = "\t\n\r\x0b\x0c\x01\x02"
 
@@ -85,33 +100,92 @@ def _count_above(falling: list[float], value: Column, block: int = 64) -> Column
     return blocks * block + over(F.slice(array(falling), blocks * block + 1, F.lit(block)))
 
 
-def with_next(df: DataFrame, carried: list[str], made: dict[str, Column] | None = None) -> DataFrame:
-    """df (with doc_id and text), the columns of ``made`` (computed after the shuffle) and next_<c> for each carried column, of the next row by descending doc_id (null last, ties by text); after the last comes the first.
+def _as_number(df: DataFrame, first: object, last: object) -> Column:
+    """doc_id as a number in the order of ids, null for null. Ids that differ may have one number: long strings, numbers of over 53 bits."""
+    kind = df.schema["doc_id"].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        raw = lambda x: x if isinstance(x, (bytes, bytearray)) else str(x or "").encode()
+        a, b = raw(first), raw(last)
+        shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        after = F.substring(F.col("doc_id").cast("binary"), shared + 1, 6)
+        return F.conv(F.rpad(F.hex(after), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date("doc_id").cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros("doc_id").cast("double")
+    return F.col("doc_id").cast("double")
+
+
+class _Ranges:
+    """Ranges of rows in the order of (doc_id descending, null last, hash of the text): bounds by quantiles of the ids, and by hash inside an id that fills several."""
+
+    def __init__(self, df: DataFrame, range_bytes: int):
+        spark = df.sparkSession
+        size = F.sum(F.octet_length("text").cast("long") + 64)
+        n, named, bytes_, first, last = df.agg(F.count(F.lit(1)), F.count("doc_id"), size, F.min("doc_id"), F.max("doc_id")).first()
+        count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-(bytes_ or 0) // range_bytes)))
+        self.number = _as_number(df, first, last)
+        self.bounds: list[float] = []
+        self.shares: list[int] = []
+        if count > 1 and named:
+            rows = df.select(self.number.alias("d")).where("d is not null")
+            wanted = [i / count for i in range(1, count)]
+            found = rows.approxQuantile("d", wanted, 0.1 / count)
+            times = {b: found.count(b) for b in set(found)} if len(found) < 1000 else dict(Counter(found))
+            often = [b for b, k in times.items() if k > 1]
+            one = {}
+            if often:  # an id is dealt by hash only if no other has its number
+                same = df.select(self.number.alias("d"), "doc_id").where(F.col("d").isin(often)).groupBy("d")
+                one = {r["d"]: r["a"] == r["b"] for r in same.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()}
+            self.bounds = sorted(times, reverse=True)
+            self.shares = [times[b] if one.get(b) else 1 for b in self.bounds]
+        #: The first range of each interval [bound, next higher bound): what is over the bound, then the bound itself if it has ranges of its own.
+        self.offsets = [0]
+        for k in self.shares:
+            self.offsets.append(self.offsets[-1] + (1 if k == 1 else k + 1))
+        self.unnamed = max(1, round(count * (n - named) / n)) if n and n > named else 0
+        self.total = self.offsets[-1] + 1 + self.unnamed
+
+    def place(self) -> Column:
+        array = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")
+        # Uniform over its range, as the hash is.
+        part = lambda k: F.least(F.floor((F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 11) / float(1 << 53)) * k), k - 1)
+        nulls = self.offsets[-1] + 1 + part(F.lit(max(1, self.unnamed)))
+        if not self.bounds:
+            return F.when(F.col("doc_id").isNull(), nulls).otherwise(0).cast("int")
+        at = _count_above(self.bounds, self.number)
+        own, bound = F.get(array(self.shares, "int"), at), F.get(array([repr(b) for b in self.bounds], "double"), at)
+        inside = F.when((own > 1) & (self.number == bound), 1 + part(own)).otherwise(0)
+        return F.when(F.col("doc_id").isNull(), nulls).otherwise(F.get(array(self.offsets, "int"), at) + inside).cast("int")
+
 
-    Rows are dealt into ranges of ids, as many as shuffle partitions; the first
-    row of each range also goes to the range before it, so one shuffle on the
-    range is enough and no task sees all rows. What reaches the driver is one id
-    for each range.
+def with_next(df: DataFrame, carried: list[str], made: dict[str, Column] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """df (with doc_id and text), the columns of ``made`` (computed after the shuffle) and next_<c> for each carried column, of the next row by descending doc_id (null last, ties by hash of the text); after the last comes the first.
+
+    Rows are dealt into ranges of ids of some range_bytes of text each (MAX_RANGES
+    at most), and rows of one id that fills several ranges by hash of the text. The
+    first row of each range also goes to the range before it, so one shuffle on the
+    range is enough and no task sees all rows. What reaches the driver is a bound
+    and the first row's id and hash for each range. Rows equal in id and text stay
+    in one range.
     """
-    spark = df.sparkSession
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
-    bounds = sorted(set(ids.approxQuantile("d", [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
-    last = len(bounds) + 1
-    place = F.when(F.col("doc_id").isNull(), last).otherwise(_count_above(sorted(bounds, reverse=True), F.col("doc_id").cast("double")))
-    firsts = {r["r"]: r["f"] for r in df.select(place.alias("r"), "doc_id").groupBy("r").agg(F.max("doc_id").alias("f")).collect()}
+    hashed = df.withColumn("_h", F.xxhash64("text"))
+    ranges = _Ranges(df, range_bytes)
+    placed = hashed.withColumn("_r", ranges.place())
+    # The first row of a range: the greatest id, and of its rows the least hash.
+    rank = F.struct("doc_id", F.bitwise_not("_h").alias("nh"))
+    firsts = {r["_r"]: r["f"] for r in placed.groupBy("_r").agg(F.max(rank).alias("f")).collect()}
     used = sorted(firsts)
     before = {r: used[i - 1] for i, r in enumerate(used)}
-    kind = df.schema["doc_id"].dataType
-    first_of = F.array(*(F.lit(firsts.get(r)).cast(kind) for r in range(last + 1)))
-    range_before = F.array(*(F.lit(before.get(r, 0)) for r in range(last + 1)))
+    spark = df.sparkSession
+    schema = T.StructType([T.StructField("_r", T.IntegerType()), T.StructField("_f", df.schema["doc_id"].dataType), T.StructField("_fh", T.LongType()), T.StructField("_b", T.IntegerType())])
+    known = F.broadcast(spark.createDataFrame([(r, firsts[r]["doc_id"], ~firsts[r]["nh"], before[r]) for r in used], schema))
+    first = F.col("doc_id").eqNullSafe(F.col("_f")) & (F.col("_h") == F.col("_fh"))
     target = lambda r, extra: F.struct(r.cast("int").alias("r"), F.lit(extra).alias("extra"))
-    here = F.col("_r")
-    first = F.col("doc_id").eqNullSafe(F.get(first_of, here))
-    targets = F.when(first, F.array(target(here, 0), target(F.get(range_before, here), 1))).otherwise(F.array(target(here, 0)))
-    dealt = df.withColumn("_r", place).withColumn("_t", F.explode(targets)).withColumn("_r", F.col("_t.r")).withColumn("_x", F.col("_t.extra")).drop("_t")
-    dealt = dealt.repartition("_r").withColumns(made or {})
-    w = Window.partitionBy("_r").orderBy("_x", F.col("doc_id").desc_nulls_last(), F.col("text"))
+    targets = F.when(first, F.array(target(F.col("_r"), 0), target(F.col("_b"), 1))).otherwise(F.array(target(F.col("_r"), 0)))
+    dealt = placed.join(known, "_r").withColumn("_t", F.explode(targets)).withColumn("_r", F.col("_t.r")).withColumn("_x", F.col("_t.extra")).drop("_t", "_f", "_fh", "_b")
+    dealt = dealt.repartitionById(ranges.total, F.col("_r")).withColumns(made or {})
+    w = Window.partitionBy("_r").orderBy("_x", F.col("doc_id").desc_nulls_last(), F.col("_h"), F.col("text"))
     out = dealt.withColumn("_n", F.lead(F.struct(*carried)).over(w)).where("_x = 0")
     return out.select(*df.columns, *(made or {}), *(F.col(f"_n.{c}").alias(f"next_{c}") for c in carried))
 
@@ -126,30 +200,103 @@ def edited_and_next(df: DataFrame) -> DataFrame:
     return linked.withColumn("edited", edited).drop("next_text").withColumn("edited_signatures", signatures(F.col("edited")))
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): class1, class2, likeness of all classes whose sets reach the threshold, and doc_id with its class.
+def _weights(signed: DataFrame, total: int) -> list[int]:
+    """How much commoner than the mean each bucket of signatures is, as a power of two. Some 64 signatures share a bucket, within MOST_BUCKETS of them."""
+    buckets = min(MOST_BUCKETS, max(1 << 12, 1 << (total // 64).bit_length()))
+    each = signed.select(F.explode("signatures").alias("g")).groupBy(F.pmod("g", F.lit(buckets)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    mean = total / buckets
+    heavy = each.where(F.col("n") > mean + 6 * math.sqrt(mean) + 16).collect()
+    out = [0] * buckets
+    for r in heavy:
+        out[r["b"]] = max(1, int(math.log2(r["n"] / (mean + 1))) + 1)
+    return out
+
+
+def _prefix(signatures_: Column, weights: list[int], threshold: float) -> Column:
+    """The ``n - ceil(threshold * n) + 1`` first of n signatures, light buckets first, then by hash. Two sets that reach the threshold share one of them."""
+    n = F.size(signatures_)
+    length = n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
+    if not any(weights):
+        return F.slice(signatures_, F.lit(1), length)
+    weight = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
+    keyed = F.transform(signatures_, lambda g: F.struct(F.get(weight, F.pmod(g, F.lit(len(weights))).cast("int")).alias("w"), g.alias("g")))
+    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), length), lambda x: x["g"])
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v: numbers of classes) whose sets reach the threshold. Sets are made again from the texts of one document of each class that is in a pair."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("number")).distinct().join(classes, "number")
+    wanted = written(wanted.select("number", "row"), "spot-wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    own = docs.join(F.broadcast(wanted) if few else wanted, "row").select("number", signatures(F.col("text")).alias("s"))
+    own = written(own.dropDuplicates(["number"]), "spot-sets")
+    one, two = own.select(F.col("number").alias("u"), F.col("s").alias("su")), own.select(F.col("number").alias("v"), F.col("s").alias("sv"))
+    return pairs.join(one, "u").join(two, "v").where(likeness(F.col("su"), F.col("sv"), threshold) >= threshold - 1e-12).select("u", "v")
+
+
+def _counted(shared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v, n1, n2), a row for each signature of both prefixes that they share, once each, if they share enough to reach the threshold.
+
+    Of the set whose prefix ends first, all that may still be shared lies behind
+    it, so the sets share at most the rows counted and the longer of the rests.
+    """
+    rest = lambda n: F.ceil(F.lit(threshold) * F.col(n) - 1e-9) - 1
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9)
+    counted = shared.groupBy("u", "v", "n1", "n2").agg(F.count(F.lit(1)).alias("k"))
+    return counted.where(F.col("k") + F.greatest(rest("n1"), rest("n2")) >= need).select("u", "v")
+
+
+def _fits(a: str, b: str, threshold: float) -> Column:
+    """Lengths let the likeness reach the threshold: then the sets lie in the same length partition or in adjacent ones."""
+    low, high = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
+    return low >= F.lit(threshold) * high - 1e-9
+
+
+def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """fingerprint, component_id, n_members: for each distinct set of signatures the smallest doc_id that links of likeness ``threshold`` or more reach from it, and its documents.
 
-    A class is all documents with equal sets, named by its digest, so copies are
-    never paired. Two sets that reach the threshold share one of their rarest
-    ``n - ceil(threshold * n) + 1`` signatures; these prefixes are joined on the
-    signature and the length partition, and lengths prune before sets are
-    compared. An empty set pairs with nothing.
+    Copies are one class from the first aggregate on. Each class is under its
+    prefix signatures, those of light buckets first, in its length partition and
+    the one below. Under a signature and partition all classes are compared with
+    the smallest one there (a star, linear in its classes), and what these links
+    connect is one part. Only classes of different parts under the same signature
+    are then compared in pairs, so a group of near copies makes no pairs among
+    itself, and no link between parts is missed. Pairs that share too few of their
+    prefixes, or whose lengths are too far apart, are never compared.
     """
-    docs = pick(df, "doc_id", "text")
-    signed = docs.select("doc_id", signatures(F.col("text")).alias("signatures")).withColumn("class", digest(F.col("signatures")))
-    members = signed.select("doc_id", "class")
-    classes = signed.groupBy("class").agg(F.first("signatures").alias("signatures")).withColumn("n", F.size("signatures")).where("n > 0")
-    each = classes.select("class", "n", F.explode("signatures").alias("signature"))
-    counts = each.groupBy("signature").agg(F.count(F.lit(1)).alias("documents"))
-    rare = Window.partitionBy("class").orderBy("documents", "signature")
-    prefix = each.join(counts, "signature").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
-    left = prefix.select("signature", "class", "n", part.alias("part")).alias("a")
-    right = prefix.select("signature", "class", "n", F.explode(F.array(part, part - 1)).alias("part")).alias("b")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    fits = (a("n") >= threshold * b("n")) & ((a("n") < b("n")) | (a("n") == b("n")) & (a("class") < b("class")))
-    found = left.join(right, (a("signature") == b("signature")) & (a("part") == b("part")) & fits).select(a("class").alias("x"), b("class").alias("y")).distinct()
-    one = classes.select(F.col("class").alias("x"), F.col("signatures").alias("sx"))
-    two = classes.select(F.col("class").alias("y"), F.col("signatures").alias("sy"))
-    alike = found.join(one, "x").join(two, "y").withColumn("likeness", likeness(F.col("sx"), F.col("sy"), threshold)).where(F.col("likeness") >= threshold)
-    return alike.select(F.least("x", "y").alias("class1"), F.greatest("x", "y").alias("class2"), "likeness"), members
+    flat = pick(df, "doc_id", "text")
+    docs = flat.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("row", F.sha2("text", 256))
+    signed = docs.select("doc_id", "row", signatures(F.col("text")).alias("signatures"))
+    total = signed.agg(F.sum(F.size("signatures"))).first()[0] or 0
+    weights = _weights(signed, total) if total else [0]
+    named = signed.withColumn("fingerprint", digest(F.col("signatures"))).withColumn("n", F.size("signatures"))
+    prefixed = named.select("doc_id", "row", "fingerprint", "n", _prefix(F.col("signatures"), weights, threshold).alias("prefix"))
+    classes = written(prefixed.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_members"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("number", F.monotonically_increasing_id()), "spot-classes")
+    each = classes.where("n > 0").select("number", "n", F.explode("prefix").alias("g"))
+    common = written(each.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "spot-common")
+    few = common.count() <= BROADCAST_SIGNATURES
+    lengths = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
+    parted = each.join(F.broadcast(common) if few else common, "g").withColumn("part", lengths)
+    keyed = written(parted.select("number", "n", "g", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part")), "spot-keyed")
+    several = keyed.groupBy("g", "part").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("number", "n")).alias("lead")).where("m > 1")
+    shared = written(keyed.join(several, ["g", "part"]).select("g", "part", "number", "n", "lead"), "spot-shared")
+    star = shared.where(F.col("number") != F.col("lead.number")).select(F.col("lead.number").alias("u"), F.col("number").alias("v"), F.col("lead.n").alias("n1"), F.col("n").alias("n2"), "g")
+    star = star.where(_fits("n1", "n2", threshold)).distinct()
+    links = written(_alike(written(_counted(star, threshold), "spot-star"), docs, classes, threshold), "spot-links")
+    parts = components(links)
+    placed = written(shared.join(parts, shared["number"] == parts["node"], "left").select("g", "part", "number", "n", F.coalesce("root", "number").alias("root")), "spot-placed")
+    # Parts that meet under a signature, then their classes: classes of one part are never paired.
+    meeting = placed.groupBy("g", "part", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    a, b = meeting.alias("a"), meeting.alias("b")
+    near = (F.col("a.low") <= F.col("b.high") / threshold + 1e-9) & (F.col("b.low") <= F.col("a.high") / threshold + 1e-9)
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") < F.col("b.root")) & near)
+    met = met.select(F.col("a.g").alias("g"), F.col("a.part").alias("part"), F.col("a.root").alias("r1"), F.col("b.root").alias("r2"))
+    one, two = (placed.select("g", "part", F.col("root").alias(f"r{k}"), F.col("number").alias(x), F.col("n").alias(f"n{k}")) for k, x in ((1, "u"), (2, "v")))
+    across = met.join(one, ["g", "part", "r1"]).join(two, ["g", "part", "r2"]).where(_fits("n1", "n2", threshold)).select("u", "v", "n1", "n2", "g").distinct()
+    more = _alike(written(_counted(across, threshold), "spot-across"), docs, classes, threshold)
+    roots = components(links.unionByName(more))
+    forget(common, keyed, shared, placed)
+    rooted = classes.join(roots, classes["number"] == roots["node"], "left").select("fingerprint", "least", "n_members", F.coalesce("root", "number").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(least, "root").select("fingerprint", "component_id", "n_members")

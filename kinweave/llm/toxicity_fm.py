@@ -78,60 +78,71 @@ BROADCAST_LABELS = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_buckets(word: str, bits: int = BITS) -> tuple[int, ...]:
-    """Buckets of a word and of its beginnings."""
-    mask = (1 << bits) - 1
-    names = [word, "^" + word[:4]] if len(word) <= 6 else [word, "^" + word[:4], "^" + word[:6]]
-    return tuple(xxhash.xxh64_intdigest(x) & mask for x in names)
-
-
-def repeat_buckets(word: str, bits: int = BITS) -> tuple[int, ...]:
-    """Buckets of the word's beginning being that of so many words."""
-    mask = (1 << bits) - 1
-    return tuple(xxhash.xxh64_intdigest(f"{k}^{word[:4]}") & mask for k in REPEATS)
+def _bucket(name: str, bits: int) -> int:
+    return xxhash.xxh64_intdigest(name) & ((1 << bits) - 1)
 
 
 class Terms:
-    """Sorted features of texts; ``feature`` numbers the buckets (all, if it is None)."""
+    """Sorted features of texts; ``feature`` numbers the buckets (all, if it is None).
+
+    Words are without number, their beginnings are few, so the features of a
+    beginning are kept apart from those of words, and words without a feature are
+    kept as a set that is taken off a text's words at once.
+    """
 
     def __init__(self, bits: int, feature: dict[int, int] | None = None):
         self.bits, self.feature = bits, feature
-        self.cache: dict[str, tuple[tuple[int, ...], tuple[int | None, ...] | None]] = {}
-        #: Words without any feature.
+        self.words: dict[str, tuple] = {}
         self.dull: set[str] = set()
+        self.starts: dict[str, tuple] = {}
+
+    def _of(self, *names: str) -> tuple[int, ...]:
+        buckets = [_bucket(x, self.bits) for x in names]
+        return tuple(buckets) if self.feature is None else tuple(self.feature[b] for b in buckets if b in self.feature)
+
+    def _of_start(self, start: str) -> tuple:
+        """The features of a beginning, and for each of REPEATS that of its being repeated (None if none of them is wanted)."""
+        if len(self.starts) >= WORD_CACHE:
+            self.starts.clear()
+        repeated = tuple(self._of(f"{k}^{start}") for k in REPEATS) if len(start) <= 4 else ()
+        got = self.starts[start] = self._of("^" + start), repeated if any(repeated) else None
+        return got
 
-    def _of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int | None, ...] | None]:
-        """The word's own features, and that for each of REPEATS (None if none is wanted)."""
-        own, repeated = word_buckets(word, self.bits), repeat_buckets(word, self.bits)
-        if self.feature is not None:
-            own = tuple(self.feature[b] for b in own if b in self.feature)
-            repeated = tuple(self.feature.get(b) for b in repeated)
-        got = own, repeated if any(r is not None for r in repeated) else None
-        if len(self.cache) + len(self.dull) >= WORD_CACHE:
-            self.cache.clear()
+    def _of_word(self, word: str) -> tuple:
+        """The word's features, its beginning and that beginning's repeats."""
+        start = word[:4]
+        own, repeated = self.starts.get(start) or self._of_start(start)
+        own = self._of(word) + own
+        if len(word) > 6:
+            own += (self.starts.get(word[:6]) or self._of_start(word[:6]))[0]
+        if len(self.words) + len(self.dull) >= WORD_CACHE:
+            self.words.clear()
             self.dull.clear()
+        got = own, start, repeated
         if len(word) <= 64:
-            if got == ((), None):
-                self.dull.add(word)
+            if own or repeated:
+                self.words[word] = got
             else:
-                self.cache[word] = got
+                self.dull.add(word)
         return got
 
     def of(self, text: str | None) -> list[int]:
         if not text:
             return []
-        cache, found = self.cache, set()
-        starts: dict[str, list] = {}
+        known, found = self.words, set()
+        times: dict[str, int] = {}
         words = Counter(_WORD.findall(text.lower()))
         for w in words.keys() - self.dull:
-            own, repeated = cache.get(w) or self._of_word(w)
+            own, start, repeated = known.get(w) or self._of_word(w)
             if own:
                 found.update(own)
             if repeated:
-                seen = starts.setdefault(w[:4], [0, repeated])
-                seen[0] += words[w]
-        for times, repeated in starts.values():
-            found.update(r for k, r in zip(REPEATS, repeated, strict=True) if times >= k and r is not None)
+                times[start] = times.get(start, 0) + words[w]
+        for start, n in times.items():
+            if n >= REPEATS[0]:
+                for k, own in zip(REPEATS, (self.starts.get(start) or self._of_start(start))[1], strict=True):
+                    if n >= k:
+                        found.update(own)
         return sorted(found)
 
 

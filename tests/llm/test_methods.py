@@ -369,3 +369,110 @@ def test_unquoted_assignment_is_linked(spark):
     assert seen == Counter(expected)
     whole = secret_scan.scan_secrets(df).columns
     assert [c.lower() for c in whole].count("base_spans") == 1 and "kind" in whole
+
+
+# Document fingerprints.
+
+
+def plain_spots(text):
+    flat = text.lower().translate({ord(c): " " for c in spot_signatures._SPACES} | {ord(c): None for c in spot_signatures._SIGNS})
+    words = [w for w in flat.split(" ") if w]
+    anchors = set(spot_signatures.ANCHORS)
+    found = set()
+    for i, w in enumerate(words):
+        chain = [x for x in words[i + 1 :] if x not in anchors][:2] if w in anchors else []
+        if chain:
+            found.add((w, *chain))
+    return frozenset(found or ({text} if text else set()))
+
+
+def plain_components(rows, threshold=0.8):
+    """Every pair of sets looked at."""
+    sets = [plain_spots(t or "") for _, t in rows]
+    distinct = sorted(set(sets), key=sorted, reverse=True) if False else list(dict.fromkeys(sets))
+    root = list(range(len(distinct)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for j in range(i):
+            b = distinct[j]
+            if a and b and len(a & b) >= threshold * len(a | b) - 1e-12:
+                root[find(i)] = find(j)
+    number = {s: k for k, s in enumerate(distinct)}
+    least = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        r = find(number[s])
+        least[r] = min((x for x in (i, least.get(r)) if x is not None), default=None)
+    times = Counter(sets)
+    return Counter((i, least[find(number[s])], times[s]) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def spot_rows(seed, groups, each):
+    """Groups of near copies, of which some reach others only by way of a third; a passage that many texts share; copies."""
+    rng = random.Random(seed)
+    vocabulary = ["w%d" % k for k in range(400)]
+    sentence = lambda n: " ".join(rng.choice(["the", "of", "and", "is"]) + " " + " ".join(rng.choices(vocabulary, k=2)) for _ in range(n))
+    license = sentence(4)
+    texts = []
+    for _ in range(groups):
+        now = sentence(rng.randint(5, 40)).split(" ")
+        for _ in range(each):
+            texts.append(" ".join(now) + (" " + license if rng.random() < 0.4 else ""))
+            now = list(now)
+            for _ in range(max(1, len(now) // 40)):
+                now[rng.randrange(len(now))] = rng.choice(vocabulary)
+    texts += [license, license + " the end here", "", "", None, "no spots", "no spots", *texts[:5], *(sentence(1) + " " + license for _ in range(40))]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "groups", "each", "broadcast"), [(1, 12, 6, True), (2, 3, 60, True), (3, 40, 2, False)])
+def test_spot_classes_against_all_pairs(spark, monkeypatch, seed, groups, each, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(spot_signatures, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(spot_signatures, "BROADCAST_SIGNATURES", 0)
+    rows = list(enumerate(spot_rows(seed, groups, each)))
+    rows += [(None, rows[3][1]), (None, rows[4][1]), (7, rows[0][1]), (7, "some the other text here")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, TEXT string, fingerprint int").repartition(3)
+    members = df.toDF("doc_id", "text", "t2", "f2").select("doc_id", spot_signatures.digest(spot_signatures.signatures(F.col("text"))).alias("fingerprint"))
+    got = members.join(spot_signatures.near_classes(df), "fingerprint")
+    assert Counter((r["doc_id"], r["component_id"], r["n_members"]) for r in got.collect()) == plain_components(rows)
+    assert spot_signatures.near_classes(df.where("false")).count() == 0
+
+
+def test_spot_weights(spark):
+    """Common signatures go last; prefixes of sets that reach the threshold meet all the same."""
+    rng = random.Random(8)
+    common = [rng.randrange(-(2**62), 2**62) for _ in range(3)]
+    rows = [(i, sorted({rng.randrange(-(2**62), 2**62) for _ in range(10)} | set(common))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, signatures array<long>")
+    weights = spot_signatures._weights(df, sum(len(s) for _, s in rows))
+    assert all(weights[c % len(weights)] > 0 for c in common)
+    prefixes = df.select(spot_signatures._prefix(F.col("signatures"), weights, 0.8).alias("p")).collect()
+    assert all(len(r["p"]) == 13 - math.ceil(0.8 * 13) + 1 and not set(common) & set(r["p"]) for r in prefixes)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "hot", "date", "big"])
+def test_next_of_any_ids(spark, kind):
+    rng = random.Random(len(kind))
+    texts = [f"the text {k} of {rng.randrange(10**9)} and more" for k in range(150)]
+    make = {"long": lambda k: k - 40, "string": lambda k: f"doc-{k * 37 % 1000:05}-é", "hot": lambda k: 5 if k % 3 else k, "date": lambda k: k, "big": lambda k: 2**60 + k}[kind]
+    rows = [(make(k), t) for k, t in enumerate(texts)] + [(None, t + " unnamed") for t in texts[:30]] + [(make(0), None)]
+    schema = "doc_id string, text string" if kind == "string" else "doc_id long, text string"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    if kind == "date":
+        df = df.withColumn("doc_id", F.date_add(F.lit("2020-01-01"), F.col("doc_id").cast("int")))
+    df = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    given = [tuple(r) for r in df.collect()]
+    named = sorted((r for r in given if r[0] is not None), key=lambda r: h[r[1]])
+    named.sort(key=lambda r: r[0], reverse=True)
+    ordered = named + sorted((r for r in given if r[0] is None), key=lambda r: h[r[1]])
+    expected = Counter((i, t, ordered[(k + 1) % len(ordered)][1]) for k, (i, t) in enumerate(ordered))
+    for size in (1 << 26, 200, 60):
+        got = spot_signatures.with_next(df, ["text"], range_bytes=size)
+        assert Counter(map(tuple, got.select("doc_id", "text", "next_text").collect())) == expected
