@@ -3,8 +3,10 @@
 Language identification drops what it rejects, toxicity drops what it predicts
 toxic, SimHash keeps the row with the smallest id of each class, the secret scan
 replaces what it finds in the texts, packing returns pieces of sequences.
-All but the last return the columns of documents. A table that lacks a column
-of documents gets it as null; further columns of its input stay.
+All but the last return the columns of documents; further columns of the input
+stay, whatever their names. Stages keep repeated rows apart (near_dedup alone
+drops copies), read very long texts whole, and give an empty table for an empty
+one.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ def _judged(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], drop:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier doesn't reject. It rejects null and empty texts and those without a letter; null ids and languages only matter for what it learns."""
     train = pick(docs, "doc_id", "text", "lang").where(language_zstd.crc_mod(F.col("doc_id"), 4) != 2)
     samples = language_zstd.learn(train)
     return _judged(docs, lambda d, text: language_zstd.classify(d, samples, text=text), F.col("rejected"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows not predicted toxic. Null and empty texts score as the bias does, so they stay; rows without an id have no label and are scored like any other."""
     labelled = toxicity_fm.labelled_terms(docs, table(spark, sf_dir, "labels"))
     model = toxicity_fm.learn(labelled)
     forget(labelled)
@@ -76,7 +80,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with what the scan finds replaced by its kind, and n_chars as it is then."""
+    """All rows, with what the scan finds replaced by its kind, and n_chars as it is then; a null text stays null, with n_chars null."""
     found = append_columns(
         docs,
         _redactor,
@@ -90,6 +94,7 @@ def _redactor() -> Callable[[list], list[list]]:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of all rows; a null or empty text is one piece, of the closing id alone. Rows of one id have pieces of their own."""
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
