@@ -103,6 +103,18 @@ def contamination(spark, sf):
     return found.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"))
 
 
+def contamination_edges(spark, sf):
+    """Documents aligned with the benchmark items that they share 32 letters with, whole texts: how much of the item a document holds."""
+    docs, items = documents(spark, sf), benchmark(spark, sf)
+    found = written(pairs.cross_set_pairs(docs, items, 32), "contamination")
+    one = docs.select(F.col("sid").alias("left_id"), F.col("seq").alias("seq2"))
+    two = items.select(F.col("sid").alias("right_id"), F.col("seq").alias("seq1"), F.col("len").alias("item_len"))
+    both = found.join(one, "left_id").join(F.broadcast(two) if items.count() <= 10_000 else two, "right_id")
+    aligned = align_pairs(both, "sw")
+    held = F.round(F.try_divide(F.col("matches").cast("double"), F.col("item_len").cast("double")), 9)
+    return aligned.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "score", "matches", "length", held.alias("held"))
+
+
 def equal_left_pairs(spark, sf):
     return pairs.equal_left_pairs(benchmark(spark, sf), 6)
 
@@ -341,7 +353,7 @@ QUERIES = {f.__name__: f for f in (
     selectivity, rank_unrank, probe_pairs, pairs_unseen, residues, suffix_table, kmer_boundaries, align_nw, align_sg, align_sw, edges, align_stats,
     feature_matrix, benchmark_edges, dedup_scopes, suffix_lengths, all_kmers, edge_labels, stream_first_seen, exact_match_classes, sequence_classes,
     match_groups, possible_per_tile, file_duplicates, pairs_by_range, fasta_round_trip, fasta_numbers, suffix_check, tree_dump, tree_stats, packed_offsets,
-    edges_bruteforce, edges_of_files, program_edges, alignment_tables,
+    edges_bruteforce, edges_of_files, program_edges, alignment_tables, contamination_edges,
 )}
 
 
