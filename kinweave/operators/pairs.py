@@ -160,7 +160,7 @@ def brute_force_pairs(sequences: DataFrame, n: int, limit: int | None = None) ->
 def numbers(sequences: DataFrame) -> DataFrame:
     """number, sid: the sids in order, numbered from 0, whatever they are; repeated ones once."""
     ordered = sequences.select("sid").where("sid is not null").distinct().repartitionByRange("sid").sortWithinPartitions("sid")
-    return numbered(written(ordered, "sids"), "number").select("number", "sid")
+    return numbered(ordered, "number").select("number", "sid")
 
 
 def all_sequence_pairs(sequences: DataFrame, limit: int | None = None) -> DataFrame:

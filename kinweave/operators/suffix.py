@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import forget, numbered, written
+from ..plans.tables import numbered, written
 
 SENTINEL = "$"
 #: Characters of a suffix that the first round sorts by; the shown ones are among them.
@@ -92,7 +92,7 @@ def suffix_table(sequences: DataFrame) -> DataFrame:
     """
     heads, levels = _levels(sequences)
     last = levels[-1][1].select("sid", "pos", "rank")
-    ordered = written(last.repartitionByRange("rank", "sid", "pos").sortWithinPartitions("rank", "sid", "pos"), "suffixes")
+    ordered = last.repartitionByRange("rank", "sid", "pos").sortWithinPartitions("rank", "sid", "pos")
     order = written(numbered(ordered, "idx").select("idx", "sid", "pos"), "order")
     before = order.select((F.col("idx") + 1).alias("idx"), F.col("sid").alias("sid0"), F.col("pos").alias("pos0"))
     pairs = order.join(before, "idx", "left").withColumn("lcp", F.lit(0).cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,8 @@ from ..functions.scoring import BLOSUM62, RESIDUES, letter_scores, residue_index
 from ..operators import align, kmers, pairs, suffix
 from ..operators.align import align_pairs
 from ..sources.fasta import database_stats, from_column, read_fasta, write_fasta
-from ..sources.pairs import read_pairs, write_pairs
-from ..sources.params import Params
+from ..sources.pairs import read_pairs, write_costs, write_pairs
+from ..sources.params import Params, load
 from ..streaming import dedup
 from . import pipeline, program
 from .tables import fresh_path, numbered, spread, written
@@ -203,8 +204,57 @@ def file_duplicates(spark, sf):
 
 def pairs_by_range(spark, sf):
     """Distinct pairs in order by ranges of the first id, as rows with their place in that order."""
-    ordered = written(pairs.sorted_by_range(pairs.maximal_matches(benchmark(spark, sf), 6)), "sorted")
-    return numbered(ordered, "place")
+    return numbered(pairs.sorted_by_range(pairs.maximal_matches(benchmark(spark, sf), 6)), "place")
+
+
+def cost_order(spark, sf):
+    """Pairs by cost, the largest first, with their place."""
+    names = part_names(spark, sf)
+    costed = pairs.with_cost(pairs.with_sequences(pairs.all_sequence_pairs(names).select("id1", "id2"), names, ["len"]))
+    return numbered(pairs.by_cost(costed).select("id1", "id2", "cost"), "place")
+
+
+def length_order(spark, sf):
+    """Documents by length, the longest first, with their place."""
+    return numbered(pairs.by_length(documents(spark, sf).select("sid", F.col("len").cast("long").alias("len"))), "place")
+
+
+def bucket_order(spark, sf):
+    """Buckets by size, the smallest first, with their place."""
+    return numbered(pairs.by_size(kmers.bucket_sizes(kmers.slide(benchmark(spark, sf), 3))).select("kmer", "size"), "place")
+
+
+def cost_files(spark, sf):
+    """Costs of the candidate pairs as they stand in their files."""
+    names, folder = part_names(spark, sf), fresh_path(spark, "costs")
+    write_costs(pairs.with_cost(pairs.with_sequences(pipeline.candidates(names, NAMES), names, ["len"])), folder, lengths=True)
+    return spark.read.schema("id1 long, id2 long, len1 long, len2 long, cost long").option("sep", "\t").csv(folder)
+
+
+def all_suffixes(spark, sf):
+    """All suffixes in one bucket."""
+    return kmers.suffixes(nations(spark, sf)).select("sid", "pid", "bid", F.col("k").cast("long").alias("k"))
+
+
+def combinations(spark, sf):
+    """All combinations of three of 26 by rank, and the numbers that follow them."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [combin.unrank_combination(int(p), 3) for p in pdf["pos"]]
+            after = [combin.next_combination(c) for c in found]
+            yield pdf.assign(a=[c[0] for c in found], b=[c[1] for c in found], c=[c[2] for c in found], rank=[combin.rank_combination(c) for c in found], following=[combin.rank_combination(c) for c in after])
+
+    return spark.range(combin.binomial(26, 3)).withColumnRenamed("id", "pos").mapInPandas(run, "pos long, a long, b long, c long, rank long, following long")
+
+
+def parameters(spark, sf):
+    """A configuration of a few keys, read from its file: all keys with their values."""
+    folder = fresh_path(spark, "config")
+    given = "ExactMatchLength: 7\nMemoryWorker: 1g\nMemorySequences: 10K\nDuplicatesLocal: false\nDuplicatesGlobal: true\nUnknownKey: 3\n"
+    spark.createDataFrame([(given,)], "value string").coalesce(1).write.text(f"{folder}/config.yaml")
+    read = load(spark, f"{folder}/config.yaml")
+    return spark.createDataFrame([(f.name, str(getattr(read, f.name))) for f in dataclasses.fields(read)], "name string, value string")
 
 
 def fasta_round_trip(spark, sf):
@@ -353,7 +403,8 @@ QUERIES = {f.__name__: f for f in (
     selectivity, rank_unrank, probe_pairs, pairs_unseen, residues, suffix_table, kmer_boundaries, align_nw, align_sg, align_sw, edges, align_stats,
     feature_matrix, benchmark_edges, dedup_scopes, suffix_lengths, all_kmers, edge_labels, stream_first_seen, exact_match_classes, sequence_classes,
     match_groups, possible_per_tile, file_duplicates, pairs_by_range, fasta_round_trip, fasta_numbers, suffix_check, tree_dump, tree_stats, packed_offsets,
-    edges_bruteforce, edges_of_files, program_edges, alignment_tables, contamination_edges,
+    edges_bruteforce, edges_of_files, program_edges, alignment_tables, contamination_edges, cost_order, length_order, bucket_order, cost_files, all_suffixes,
+    combinations, parameters,
 )}
 
 
@@ -564,6 +615,22 @@ ORACLE_SQL = {
     "edges_of_files": f"{_edges_sql(_t1('names', 3))} select id1, id2, a, b, c, is_edge from edged where is_edge",
     "program_edges": f"{_edges_sql(_t1('names', 3))} select id1, id2, a, b, c from edged where is_edge",
     "alignment_tables": _tables_sql(),
+    "cost_order": f"""with {_NAMES}, p as (select x.sid as id1, y.sid as id2, length(x.seq) * length(y.seq) as cost from names x join names y on x.sid < y.sid)
+        select id1, id2, cost, row_number() over (order by cost desc, id1, id2) - 1 as place from p""",
+    "length_order": f"with {_DOCS} select sid, length(seq) as len, row_number() over (order by length(seq) desc, sid) - 1 as place from docs",
+    "bucket_order": f"with {_BENCH}, b as (select kmer, count(*) as size from {_slide('bench', 3)} group by kmer) select kmer, size, row_number() over (order by size, kmer) - 1 as place from b",
+    "cost_files": f"""with {_NAMES} select id1, id2, length(x.seq) as len1, length(y.seq) as len2, length(x.seq) * length(y.seq) as cost
+        from {_t1('names', 3)} p join names x on p.id1 = x.sid join names y on p.id2 = y.sid""",
+    "all_suffixes": f"""with s as (select cast(n_nationkey as bigint) as sid, {_SEQ.format(text='n_name')} as seq from nation)
+        select sid, unnest(range(1, length(seq) + 1)) as pid, cast(0 as bigint) as bid, cast(0 as bigint) as k from s""",
+    "combinations": """with c as (select x.a, y.b, z.c from range(26) x(a) join range(26) y(b) on x.a < y.b join range(26) z(c) on y.b < z.c)
+        select row_number() over w - 1 as pos, a, b, c, row_number() over w - 1 as rank, row_number() over w as following from c window w as (order by c, b, a)""",
+    "parameters": """select * from (values ('AlignOverLongerSequence', '80'), ('MatchSimilarity', '40'), ('OptimalScoreOverSelfScore', '30'), ('SlideWindowSize', '3'), ('ExactMatchLength', '7'),
+        ('SuffixArrayBlockSize', '100'), ('Function', 'sw_stats_striped_16'), ('Matrix', 'blosum62'), ('Open', '-10'), ('Gap', '-1'), ('MemoryWorker', '1073741824'), ('MemorySequences', '10240'),
+        ('SkipPrefixes', '[]'), ('OutputAll', 'False'), ('OutputToDisk', 'True'), ('DistributeSequences', 'False'), ('UseLengthFilter', 'True'), ('UseIterator', 'False'), ('UseCounter', 'False'),
+        ('UseArray', 'False'), ('UseTree', 'False'), ('UseTreeDynamic', 'False'), ('UseTreeHybrid', 'False'), ('PrintStats', 'True'), ('Alphabet', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ:;'),
+        ('AlphabetBegin', ':'), ('AlphabetDollar', ';'), ('DuplicatesLocal', 'False'), ('DuplicatesSemiLocal', 'False'), ('DuplicatesSmp', 'False'), ('DuplicatesGlobal', 'True'),
+        ('BucketCutoff', '30'), ('SkipTree', 'False'), ('PerformAlignments', 'True')) v(name, value)""",
     "pair_costs": f"with {_DOCS}, {_COSTS} select * from costs",
     "cost_by_owner": f"with {_DOCS}, {_COSTS} select ({_rank('id1', 'id2')}) % 8 as owner, count(*) as pairs, cast(sum(cost) as bigint) as work from costs group by 1",
     "brute_force": f"with {_NAMES} select {_rank('x.sid', 'y.sid')} as pos, x.sid as id1, y.sid as id2, x.seq as seq1, y.seq as seq2 from names x join names y on x.sid < y.sid",

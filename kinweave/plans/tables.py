@@ -28,15 +28,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def numbered(rows: DataFrame, name: str) -> DataFrame:
+def numbered(rows: DataFrame, name: str, stable: bool = False) -> DataFrame:
     """rows with a column of consecutive numbers from 0, in the order of partitions and of rows in them.
 
     Each partition's first number is the sum of the counts before it: a table of a
     row a partition, which is joined by broadcast and never reaches the driver. The
-    rows must come out of the same partitions each time they are computed, so give
-    rows that were written, or read from files.
+    rows are written with their places first, as they may come out of other
+    partitions the next time, and files are not read in the order in which they
+    were written; ``stable`` says that they are read from files that stay.
     """
     tagged = rows.withColumn("_m", F.monotonically_increasing_id())
+    tagged = tagged if stable else written(tagged, "numbered")
     part = F.shiftright("_m", 33)
     counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))

@@ -15,7 +15,7 @@ def read_fasta(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Records start at '>' after a line end. The id keeps its '>'; sequence lines are joined without white space; headers without a sequence give no row.
 
     Files are split at record borders by the reader, so a file needs no single
-    task. sid follows the order of records in the files.
+    task. sid follows the order of records in a file.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
     if check:
@@ -31,8 +31,8 @@ def read_fasta(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
-    """sid, id, seq, len: consecutive sids in the order of partitions and rows."""
-    return numbered(rows, "sid").select("sid", "id", "seq", F.length("seq").alias("len"))
+    """sid, id, seq, len: consecutive sids in the order of the splits of the files and of their rows: a file's records keep their order; of several files, the larger ones may come first."""
+    return numbered(rows, "sid", stable=True).select("sid", "id", "seq", F.length("seq").alias("len"))
 
 
 def from_column(df: DataFrame, sid: str, text: str | Column) -> DataFrame:

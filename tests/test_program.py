@@ -267,6 +267,13 @@ def test_orders_and_numbers(spark):
     assert sorted(r["n"] for r in numbered(spark.range(1000, numPartitions=7), "n").collect()) == list(range(1000))
     assert [r["n"] for r in numbered(spark.range(50, numPartitions=3), "n").orderBy("id").collect()] == list(range(50))
     assert numbered(spark.range(0), "n").count() == 0
+    # Partitions of unequal sizes: files aren't read in the order in which they were written.
+    uneven = spark.range(4000).withColumn("x", F.repeat(F.lit("z"), (F.col("id") % 50).cast("int"))).repartitionByRange(9, F.sqrt("id")).sortWithinPartitions("id")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert all(r["id"] == r["n"] for r in numbered(uneven, "n").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_entry_without_the_corpus_libraries():
