@@ -211,19 +211,20 @@ def pair_features(rows: Rows, labels: np.ndarray, scores: np.ndarray, n: int, ol
     for i, (end, k) in enumerate(zip(ends.tolist(), rows.counts.tolist(), strict=True)):
         once.setdefault((labels[i], xxhash.xxh3_128_digest(rows.flat[end - k : end].tobytes())), i)
     some = np.array(sorted(once.values()), np.int64)
-    off, spread = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    off, spread = np.zeros((n - old, n), np.float32), np.zeros((n - old, n), np.float32)
     for low in range(0, len(some), 1024):
         own = some[low : low + 1024]
         x = np.zeros((len(own), n), np.float32)
         x[rows.pick(own)] = 1
         p = scores[own]
-        off += (x * (labels[own] - p).astype(np.float32)[:, None]).T @ x
-        spread += (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
-    strength = np.triu(np.abs(off) / np.sqrt(spread + 1), 1)
-    strength[:old, :old] = 0
+        off += (x[:, old:] * (labels[own] - p).astype(np.float32)[:, None]).T @ x
+        spread += (x[:, old:] * (p * (1 - p)).astype(np.float32)[:, None]).T @ x
+    np.add(spread, 1, out=spread)
+    strength = np.abs(off, out=off) / np.sqrt(spread, out=spread)
+    strength[:, old:] = np.triu(strength[:, old:], 1)
     a, b = np.nonzero(strength >= least)
     best = np.argsort(-strength[a, b], kind="stable")[:most]
-    return sorted({*a[best].tolist(), *b[best].tolist()})
+    return sorted({*(a[best] + old).tolist(), *b[best].tolist()})
 
 
 def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
