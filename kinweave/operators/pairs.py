@@ -18,7 +18,7 @@ from ..functions.alphabet import filter_out
 from ..functions.combin import all_pairs, binomial, rank_pair, unrank_pair
 from ..functions.scoring import length_filter, pair_cost
 from ..plans.tables import numbered, written
-from .kmers import distinct_kmers, distinct_with_left, slide, with_left
+from .kmers import distinct_kmers, distinct_with_left, with_left
 
 
 def _self_join(rows: DataFrame, on: str | list[str], residual: Column | None = None) -> DataFrame:
