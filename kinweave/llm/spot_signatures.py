@@ -20,6 +20,7 @@ text; two empty sets have likeness 1. Equal texts have equal sets.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 
@@ -44,10 +45,14 @@ RANGE_BYTES = 64 << 20
 MAX_RANGES = 65_536
 #: Buckets that signatures are counted in, to tell common ones from rare ones.
 MOST_BUCKETS = 1 << 20
-#: So many names of documents are broadcast at most.
-BROADCAST_ROWS = 500_000
-#: So many signatures are broadcast at most.
-BROADCAST_SIGNATURES = 2_000_000
+#: So many numbers of classes, or signatures, are broadcast at most (8 MB).
+BROADCAST_NAMES = 1_000_000
+#: Parts under a signature beyond which they are first compared with some of them, how many these are, and how often that is done.
+FEW = 8
+LEADERS = 8
+STEPS = 2
+#: Classes with up to so many shared signatures carry them along, so a pair of them is made once and not for each signature it shares.
+CARRIED = 12
 _SIGNS = ".,;:!?\"'()[]{}|*#$%&<>/\\-_+=~`^@"
 _SPACES = "\t\n\r\x0b\x0c\x01\x02"
 
@@ -177,9 +182,10 @@ def with_next(df: DataFrame, carried: list[str], made: dict[str, Column] | None
     firsts = {r["_r"]: r["f"] for r in placed.groupBy("_r").agg(F.max(rank).alias("f")).collect()}
     used = sorted(firsts)
     before = {r: used[i - 1] for i, r in enumerate(used)}
-    spark = df.sparkSession
-    schema = T.StructType([T.StructField("_r", T.IntegerType()), T.StructField("_f", df.schema["doc_id"].dataType), T.StructField("_fh", T.LongType()), T.StructField("_b", T.IntegerType())])
-    known = F.broadcast(spark.createDataFrame([(r, firsts[r]["doc_id"], ~firsts[r]["nh"], before[r]) for r in used], schema))
+    listed = [{"_r": r, "_f": None if firsts[r]["doc_id"] is None else str(firsts[r]["doc_id"]), "_fh": ~firsts[r]["nh"], "_b": before[r]} for r in used]
+    read = F.explode(F.from_json(F.lit(json.dumps(listed)), "array<struct<_r: int, _f: string, _fh: bigint, _b: int>>")).alias("x")
+    known = df.sparkSession.range(1).select(read).select("x._r", F.col("x._f").cast(df.schema["doc_id"].dataType).alias("_f"), "x._fh", "x._b")
+    known = F.broadcast(known)
     first = F.col("doc_id").eqNullSafe(F.col("_f")) & (F.col("_h") == F.col("_fh"))
     target = lambda r, extra: F.struct(r.cast("int").alias("r"), F.lit(extra).alias("extra"))
     targets = F.when(first, F.array(target(F.col("_r"), 0), target(F.col("_b"), 1))).otherwise(F.array(target(F.col("_r"), 0)))
@@ -201,14 +207,18 @@ def edited_and_next(df: DataFrame) -> DataFrame:
 
 
 def _weights(signed: DataFrame, total: int) -> list[int]:
-    """How much commoner than the mean each bucket of signatures is, as a power of two. Some 64 signatures share a bucket, within MOST_BUCKETS of them."""
-    buckets = min(MOST_BUCKETS, max(1 << 12, 1 << (total // 64).bit_length()))
+    """How much commoner than the mean each bucket of signatures is, as a power of two.
+
+    Some 128 signatures share a bucket, within MOST_BUCKETS of them. A light bucket
+    that is taken for a heavy one does no harm: any order of the signatures is right.
+    """
+    buckets = min(MOST_BUCKETS, max(1 << 12, 1 << (total // 128).bit_length()))
     each = signed.select(F.explode("signatures").alias("g")).groupBy(F.pmod("g", F.lit(buckets)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     mean = total / buckets
-    heavy = each.where(F.col("n") > mean + 6 * math.sqrt(mean) + 16).collect()
+    heavy = each.where(F.col("n") > mean + 2 * math.sqrt(mean) + 2).collect()
     out = [0] * buckets
     for r in heavy:
-        out[r["b"]] = max(1, int(math.log2(r["n"] / (mean + 1))) + 1)
+        out[r["b"]] = max(1, int(math.log2(r["n"] - mean + 1)))
     return out
 
 
@@ -223,33 +233,83 @@ def _prefix(signatures_: Column, weights: list[int], threshold: float) -> Column
     return F.transform(F.slice(F.array_sort(keyed), F.lit(1), length), lambda x: x["g"])
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v: numbers of classes) whose sets reach the threshold. Sets are made again from the texts of one document of each class that is in a pair."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("number")).distinct().join(classes, "number")
-    wanted = written(wanted.select("number", "row"), "spot-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    own = docs.join(F.broadcast(wanted) if few else wanted, "row").select("number", signatures(F.col("text")).alias("s"))
-    own = written(own.dropDuplicates(["number"]), "spot-sets")
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v: numbers of classes) whose sets reach the threshold."""
+    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("number")).distinct(), "spot-wanted")
+    own = _semi(sets.select("number", F.col("signatures").alias("s")), wanted, "number")
     one, two = own.select(F.col("number").alias("u"), F.col("s").alias("su")), own.select(F.col("number").alias("v"), F.col("s").alias("sv"))
-    return pairs.join(one, "u").join(two, "v").where(likeness(F.col("su"), F.col("sv"), threshold) >= threshold - 1e-12).select("u", "v")
+    found = pairs.join(one, "u").join(two, "v").where(likeness(F.col("su"), F.col("sv"), threshold) >= threshold - 1e-12).select("u", "v")
+    found = written(found, "spot-links")
+    forget(wanted)
+    return found
 
 
-def _counted(shared: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v, n1, n2), a row for each signature of both prefixes that they share, once each, if they share enough to reach the threshold.
+def _semi(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the names (written): by broadcast up to BROADCAST_NAMES of them."""
+    return rows.join(F.broadcast(names) if names.count() <= BROADCAST_NAMES else names, key, "left_semi")
+
+
+def _rest(n: Column, threshold: float) -> Column:
+    """Signatures of a set behind its prefix."""
+    return F.ceil(F.lit(threshold) * n - 1e-9) - 1
+
+
+def _least_shared(n1: Column, n2: Column, low1: Column, low2: Column, threshold: float) -> Column:
+    """So many signatures of their prefixes sets of n1 and n2 signatures share at least if they reach the threshold (low1, low2: the least sizes, where sizes are ranges).
 
     Of the set whose prefix ends first, all that may still be shared lies behind
-    it, so the sets share at most the rows counted and the longer of the rests.
+    it, so the sets share at most the longer of the rests beside their prefixes.
     """
-    rest = lambda n: F.ceil(F.lit(threshold) * F.col(n) - 1e-9) - 1
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9)
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (low1 + low2) - 1e-9)
+    return need - F.greatest(_rest(n1, threshold), _rest(n2, threshold))
+
+
+def _counted(shared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v, n1, n2: a row for each signature of both prefixes that they share), once each, if they share enough to reach the threshold."""
     counted = shared.groupBy("u", "v", "n1", "n2").agg(F.count(F.lit(1)).alias("k"))
-    return counted.where(F.col("k") + F.greatest(rest("n1"), rest("n2")) >= need).select("u", "v")
+    n1, n2 = F.col("n1"), F.col("n2")
+    return counted.where(F.col("k") >= _least_shared(n1, n2, n1, n2, threshold)).select("u", "v")
 
 
-def _fits(a: str, b: str, threshold: float) -> Column:
-    """Lengths let the likeness reach the threshold: then the sets lie in the same length partition or in adjacent ones."""
-    low, high = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return low >= F.lit(threshold) * high - 1e-9
+def _once(g: Column, n1: Column, n2: Column, keys1: Column, keys2: Column, threshold: float) -> Column:
+    """Of classes that both carry their shared signatures: is g the first that they have in common, and have they enough? True if one doesn't carry them."""
+    both = F.array_intersect(keys1, keys2)
+    return F.coalesce((F.get(both, F.lit(0)) == g) & (F.size(both) >= _least_shared(n1, n2, n1, n2, threshold)), F.lit(True))
+
+
+def _fits(n1: Column, n2: Column, c1: Column, c2: Column, threshold: float) -> Column:
+    """Lengths, and the signatures that each prefix shares with any other, let the likeness reach the threshold: then the sets lie in the same length partition or in adjacent ones."""
+    return (F.least(n1, n2) >= F.lit(threshold) * F.greatest(n1, n2) - 1e-9) & (F.least(c1, c2) >= _least_shared(n1, n2, n1, n2, threshold))
+
+
+def _parity(word: int) -> Column:
+    """64 bits of a set, of which each signature flips one."""
+    return F.expr(f"aggregate(signatures, 0L, (acc, g) -> if((shiftright(g, 6) & 1) = {word}, acc ^ shiftleft(1L, cast(g & 63 as int)), acc))")
+
+
+def _close(n1: Column, n2: Column, words1: list[Column], words2: list[Column], threshold: float) -> Column:
+    """Sets differ in at least as many signatures as their parities do in bits: few enough to reach the threshold? True if a set's words aren't carried."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words1, words2, strict=True)), F.lit(0))
+    return F.coalesce(differ <= (n1 + n2) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9, F.lit(True))
+
+
+def _stars(placed: DataFrame, step: int, threshold: float) -> DataFrame:
+    """Pairs of classes to compare: under each signature that over FEW parts have, all others with LEADERS of them, taken by hash.
+
+    The same classes lead under all signatures that a group of near copies shares,
+    so pairs with them are counted in full, or nearly.
+    """
+    crowded = placed.groupBy("g", "part").agg(F.count_distinct("root").alias("m")).where(F.col("m") > FEW).select("g", "part")
+    inside = written(placed.join(crowded, ["g", "part"]), "spot-crowded")
+    salts = [F.min(F.struct(F.xxhash64("number", F.lit(97 * step + k)).alias("h"), "number", "n", "c", "root", "own", "p0", "p1")).alias(f"l{k}") for k in range(LEADERS)]
+    leads = inside.groupBy("g", "part").agg(*salts).select("g", "part", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"l{k}.{c}").alias(c) for c in ("number", "n", "c", "root", "own", "p0", "p1"))) for k in range(LEADERS))))).alias("lead"))
+    apart = (F.col("root") != F.col("lead.root")) & (F.col("own") | F.col("lead.own"))
+    star = inside.join(leads, ["g", "part"]).where(apart & _fits(F.col("lead.n"), F.col("n"), F.col("lead.c"), F.col("c"), threshold))
+    star = star.where(_close(F.col("lead.n"), F.col("n"), [F.col("lead.p0"), F.col("lead.p1")], [F.col("p0"), F.col("p1")], threshold))
+    star = star.select(F.col("lead.number").alias("u"), F.col("number").alias("v"), F.col("lead.n").alias("n1"), F.col("n").alias("n2"))
+    counted = written(_counted(star, threshold), "spot-star")
+    forget(inside)
+    return counted.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,46 +317,65 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Copies are one class from the first aggregate on. Each class is under its
     prefix signatures, those of light buckets first, in its length partition and
-    the one below. Under a signature and partition all classes are compared with
-    the smallest one there (a star, linear in its classes), and what these links
-    connect is one part. Only classes of different parts under the same signature
-    are then compared in pairs, so a group of near copies makes no pairs among
-    itself, and no link between parts is missed. Pairs that share too few of their
-    prefixes, or whose lengths are too far apart, are never compared.
+    the one below. Under a crowded signature all classes are first compared with a
+    few of them (stars, linear in the classes), STEPS times, and what these links
+    connect is one part. Then classes of different parts under the same signature
+    are compared in pairs, so a group of near copies makes no pairs among what is
+    connected already, and no link between parts is missed. Pairs that share too
+    few of their prefixes, whose lengths are too far apart, or whose parities (of 128
+    bits) show that they differ too much, are never compared.
     """
-    flat = pick(df, "doc_id", "text")
-    docs = flat.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("row", F.sha2("text", 256))
-    signed = docs.select("doc_id", "row", signatures(F.col("text")).alias("signatures"))
-    total = signed.agg(F.sum(F.size("signatures"))).first()[0] or 0
-    weights = _weights(signed, total) if total else [0]
-    named = signed.withColumn("fingerprint", digest(F.col("signatures"))).withColumn("n", F.size("signatures"))
-    prefixed = named.select("doc_id", "row", "fingerprint", "n", _prefix(F.col("signatures"), weights, threshold).alias("prefix"))
-    classes = written(prefixed.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_members"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("number", F.monotonically_increasing_id()), "spot-classes")
-    each = classes.where("n > 0").select("number", "n", F.explode("prefix").alias("g"))
+    docs = pick(df, "doc_id", "text")
+    signed = docs.select("doc_id", signatures(F.col("text")).alias("signatures"))
+    made = signed.select("doc_id", digest(F.col("signatures")).alias("fingerprint"), F.size("signatures").alias("n"), "signatures")
+    sets = written(made.select("*", _parity(0).alias("p0"), _parity(1).alias("p1"), F.monotonically_increasing_id().alias("number")), "spot-sets")
+    classes = written(sets.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_members"), F.min("number").alias("number")), "spot-classes")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    weights = _weights(sets, total) if total else [0]
+    every = sets.where("n > 0").select("number", "n", F.explode(_prefix(F.col("signatures"), weights, threshold)).alias("g"))
+    each = written(_semi(every, classes.select("number"), "number"), "spot-prefixes")
     common = written(each.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "spot-common")
-    few = common.count() <= BROADCAST_SIGNATURES
     lengths = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
-    parted = each.join(F.broadcast(common) if few else common, "g").withColumn("part", lengths)
-    keyed = written(parted.select("number", "n", "g", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part")), "spot-keyed")
-    several = keyed.groupBy("g", "part").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("number", "n")).alias("lead")).where("m > 1")
-    shared = written(keyed.join(several, ["g", "part"]).select("g", "part", "number", "n", "lead"), "spot-shared")
-    star = shared.where(F.col("number") != F.col("lead.number")).select(F.col("lead.number").alias("u"), F.col("number").alias("v"), F.col("lead.n").alias("n1"), F.col("n").alias("n2"), "g")
-    star = star.where(_fits("n1", "n2", threshold)).distinct()
-    links = written(_alike(written(_counted(star, threshold), "spot-star"), docs, classes, threshold), "spot-links")
-    parts = components(links)
-    placed = written(shared.join(parts, shared["number"] == parts["node"], "left").select("g", "part", "number", "n", F.coalesce("root", "number").alias("root")), "spot-placed")
+    at = F.array(F.struct(lengths.alias("part"), F.lit(True).alias("own")), F.struct((lengths - 1).alias("part"), F.lit(False).alias("own")))
+    keyed = written(_semi(each, common, "g").select("number", "n", "g", F.explode(at).alias("at")).select("number", "n", "g", "at.*"), "spot-keyed")
+    forget(common, each)
+    several = keyed.groupBy("g", "part").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("some")).where("m > 1 and some").select("g", "part")
+    both = written(keyed.join(several, ["g", "part"]), "spot-both")
+    own = both.groupBy("number").agg(F.sort_array(F.collect_set("g")).alias("all"))
+    counts = own.select("number", F.size("all").alias("c"), F.when(F.size("all") <= CARRIED, F.col("all")).alias("keys"))
+    bits = _semi(sets.select("number", "p0", "p1"), written(counts.select("number"), "spot-numbers"), "number")
+    shared = written(both.join(counts.join(bits, "number"), "number"), "spot-shared")
+    forget(keyed, both)
+    links, placed = None, shared.withColumn("root", F.col("number"))
+    for step in range(STEPS):
+        found = _alike(_stars(placed, step, threshold), sets, threshold)
+        links = found if links is None else links.unionByName(found)
+        parts = components(links)
+        rooted = shared.join(parts, shared["number"] == parts["node"], "left").select(*(shared[c] for c in shared.columns), F.coalesce("root", "number").alias("root"))
+        placed = written(rooted, "spot-placed")
     # Parts that meet under a signature, then their classes: classes of one part are never paired.
-    meeting = placed.groupBy("g", "part", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    meeting = placed.groupBy("g", "part", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("c"), F.max("own").alias("some"), F.count(F.lit(1)).alias("m"), *(F.min(x).alias(x) for x in ("keys", "p0", "p1")))
+    meeting = meeting.withColumns({x: F.when(F.col("m") == 1, F.col(x)) for x in ("keys", "p0", "p1")})
     a, b = meeting.alias("a"), meeting.alias("b")
-    near = (F.col("a.low") <= F.col("b.high") / threshold + 1e-9) & (F.col("b.low") <= F.col("a.high") / threshold + 1e-9)
+    near = (F.col("a.low") <= F.col("b.high") / threshold + 1e-9) & (F.col("b.low") <= F.col("a.high") / threshold + 1e-9) & (F.col("a.some") | F.col("b.some"))
+    near = near & (F.least("a.c", "b.c") >= _least_shared(F.col("a.high"), F.col("b.high"), F.col("a.low"), F.col("b.low"), threshold))
+    near = near & _close(F.col("a.high"), F.col("b.high"), [F.col("a.p0"), F.col("a.p1")], [F.col("b.p0"), F.col("b.p1")], threshold)
+    near = near & _once(F.col("a.g"), *(F.col(x) for x in ("a.low", "b.low", "a.keys", "b.keys")), threshold)
     met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") < F.col("b.root")) & near)
-    met = met.select(F.col("a.g").alias("g"), F.col("a.part").alias("part"), F.col("a.root").alias("r1"), F.col("b.root").alias("r2"))
-    one, two = (placed.select("g", "part", F.col("root").alias(f"r{k}"), F.col("number").alias(x), F.col("n").alias(f"n{k}")) for k, x in ((1, "u"), (2, "v")))
-    across = met.join(one, ["g", "part", "r1"]).join(two, ["g", "part", "r2"]).where(_fits("n1", "n2", threshold)).select("u", "v", "n1", "n2", "g").distinct()
-    more = _alike(written(_counted(across, threshold), "spot-across"), docs, classes, threshold)
+    # The smaller part's classes first, so that what the first join makes stays small.
+    fewer = F.col("a.m") <= F.col("b.m")
+    r1, r2 = F.when(fewer, F.col("a.root")).otherwise(F.col("b.root")), F.when(fewer, F.col("b.root")).otherwise(F.col("a.root"))
+    met = met.select(F.col("a.g").alias("g"), F.col("a.part").alias("part"), r1.alias("r1"), r2.alias("r2"))
+    one, two = (placed.select("g", "part", F.col("root").alias(f"r{k}"), F.col("number").alias(x), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"), F.col("own").alias(f"own{k}"), F.col("keys").alias(f"keys{k}"), F.col("p0").alias(f"p0{k}"), F.col("p1").alias(f"p1{k}")) for k, x in ((1, "u"), (2, "v")))
+    column = lambda *names: (F.col(x) for x in names)
+    allowed = (F.col("own1") | F.col("own2")) & _fits(*column("n1", "n2", "c1", "c2"), threshold) & _once(*column("g", "n1", "n2", "keys1", "keys2"), threshold)
+    across = met.join(one, ["g", "part", "r1"]).join(two, ["g", "part", "r2"], "inner").where(allowed)
+    across = across.where(_close(F.col("n1"), F.col("n2"), list(column("p01", "p11")), list(column("p02", "p12")), threshold))
+    across = written(across.select("u", "v", "n1", "n2", (F.col("keys1").isNotNull() & F.col("keys2").isNotNull()).alias("once")), "spot-across")
+    compared = across.where("once").select("u", "v").unionByName(_counted(across.where("not once"), threshold))
+    more = _alike(compared, sets, threshold)
     roots = components(links.unionByName(more))
-    forget(common, keyed, shared, placed)
+    forget(sets, shared, placed, across)
     rooted = classes.join(roots, classes["number"] == roots["node"], "left").select("fingerprint", "least", "n_members", F.coalesce("root", "number").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "root").select("fingerprint", "component_id", "n_members")
