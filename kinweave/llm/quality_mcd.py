@@ -62,6 +62,9 @@ MIN_GROUP = 200
 QUANTILE = 0.99999
 #: Up to so many groups (some 400 bytes each) their estimates are broadcast; beyond, they are joined by key.
 BROADCAST_GROUPS = 20_000
+#: Estimates that a task makes and a file holds. A task reads BINS rows for each at most, whatever the number of documents;
+#: without this each shuffle partition would write a file of a row or two at every step.
+PART_ESTIMATES = 128
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _ALL = bytes(range(256))
@@ -215,6 +218,11 @@ def _with_estimates(rows: DataFrame, estimates: DataFrame, groups: int, matrix:
     return rows.join(right, _key_is(_KEY, ["e_level", "e_lang", "e_source"]), "left").drop("e_lang", "e_source", "e_level")
 
 
+def _parts(estimates: int) -> int:
+    """Tasks, and so files, for so many estimates; all of them are kept."""
+    return max(1, -(-estimates // PART_ESTIMATES))
+
+
 def _quartiles(rows: DataFrame) -> DataFrame:
     """Start 0, centre and scale of each statistic from its quartiles, exact by histogram."""
     long = rows.select(*_KEY, F.posexplode(F.array(*FEATURES)).alias("f", "v")).groupBy(*_KEY, "f", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -270,7 +278,7 @@ def start_estimates(n: int, sums: list[int], cross: list[int], kind: int, centre
 
 def _starts(rows: DataFrame, groups: int) -> DataFrame:
     """All starts of each group."""
-    quartiles = written(_quartiles(rows), "quality-start")
+    quartiles = written(_quartiles(rows).coalesce(_parts(groups)), "quality-start")
     p = len(FEATURES)
     # The precision of start 0 is diagonal, so its entries give the scales.
     diagonal = [PAIRS.index((i, i)) for i in range(p)]
@@ -283,6 +291,8 @@ def _starts(rows: DataFrame, groups: int) -> DataFrame:
     kinds = [F.struct(F.lit(k).alias("kind"), *(x.alias(f) for x, f in zip(xs, FEATURES, strict=True))) for k, xs in ((1, [F.col(f) for f in FEATURES]), (2, sign), (3, tangent))]
     each = near.select(*_KEY, "centre", "precision", F.explode(F.array(*kinds)).alias("x")).select(*_KEY, "centre", "precision", "x.*")
     summed = _sums(each.groupBy(*_KEY, "kind"), [F.first("centre").alias("centre"), F.first("precision").alias("precision")])
+    # Dealt anew: what the tasks over all rows send to this aggregate grows with their number, so it stays in all partitions.
+    summed = summed.repartition(_parts(3 * groups))
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -318,7 +328,7 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int, share: floa
                 out.append(_estimate((row.k_lang, row.k_source, row.level), row.start, [x / n / SCALE for x in sums], cov))
             yield pd.DataFrame(out, columns=_ESTIMATE.names)
 
-    return kept.mapInPandas(estimate, _ESTIMATE)
+    return kept.coalesce(_parts(groups)).mapInPandas(estimate, _ESTIMATE)
 
 
 def _stepped(rows: DataFrame, estimates: DataFrame, groups: int, share: float) -> DataFrame:
@@ -344,11 +354,11 @@ def estimates_of(rows: DataFrame, groups: int, share: float = SHARE) -> DataFram
     while True:
         step += 1
         after = _stepped(rows, now, groups * 4, share)
-        before, now = now, written(_best(after, BEST) if step == FIRST_STEPS else after, "quality-step")
+        before, now = now, written((_best(after, BEST) if step == FIRST_STEPS else after).coalesce(_parts(groups * 4)), "quality-step")
         forget(before)
         if step >= FIRST_STEPS and now.where("moving").isEmpty():
             break
-    best = written(_best(now, 1), "quality-best")
+    best = written(_best(now, 1).coalesce(_parts(groups)), "quality-best")
     forget(now)
     return best
 

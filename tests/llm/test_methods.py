@@ -142,6 +142,37 @@ def test_quality_starts_and_steps(spark):
     assert quality_mcd.estimates_of(df.where("false"), 1).count() == 0
 
 
+def test_quality_estimates_go_to_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are, a table of estimates is a file for each PART_ESTIMATES, with all rows."""
+    rng = random.Random(8)
+    rows = [(0, "en", f"s{g}", *(round(rng.gauss(20 * g, 40)) for _ in range(6))) for g in range(12) for _ in range(40)]
+    df = spark.createDataFrame(rows, "level int, k_lang string, k_source string, " + ", ".join(f"{f} long" for f in quality_mcd.FEATURES))
+    values = lambda t: sorted((r["k_source"], r["start"], tuple(r["centre"]), tuple(r["verdict"])) for r in t.collect())
+    expected = values(quality_mcd.estimates_of(df, 12))
+    assert [v[0] for v in expected] == sorted(f"s{g}" for g in range(12))
+    files = []
+
+    def counted(table, name, write=quality_mcd.written):
+        out = write(table, name)
+        files.append((name, len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(quality_mcd, "written", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for part, most in ((128, {"quality-start": 1, "quality-starts": 2}), (8, {"quality-start": 2, "quality-starts": 7, "quality-step": 6, "quality-best": 2})):
+            files.clear()
+            monkeypatch.setattr(quality_mcd, "PART_ESTIMATES", part)
+            assert values(quality_mcd.estimates_of(df, 12)) == expected
+            assert not [f for f in files if f[1] > most.get(f[0], 1)]
+            assert [f[2] for f in files[:3]] == [12, 48, 48] and {f[2] for f in files[3:-1]} == {24} and files[-1][2] == 12
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # Toxicity: terms, training and pairs written apart.
 
 
