@@ -69,7 +69,7 @@ def test_runs_are_small(spark):
     assert windows == 60 * (4000 - 23) and size < 4 * 60 * 4000
 
 
-@pytest.mark.parametrize("name", ["exact_match_pairs"])
+@pytest.mark.parametrize("name", ["exact_match_pairs", "exact_match_length_filtered"])
 def test_pairs_without_windows_as_rows(spark, name):
     assert moved(queries.QUERIES[name](spark, SF)) == []
 
