@@ -78,6 +78,10 @@ def test_groups_without_windows_as_rows(spark):
     assert moved(queries.match_groups(spark, SF)) == []
 
 
+def test_occurrences_without_pairs_as_rows(spark):
+    assert moved(queries.occurrences_by_pair(spark, SF)) == []
+
+
 def test_pairs_of_awkward_rows(spark):
     """Repeated, negative, far and missing ids; one text in all of them; a cutoff."""
     seqs = ["ABCDE" * 3, "XABCDE", "ABCDEY", "", "ABCDE" * 4, "QRSTUV", "ABCDE" * 3]
