@@ -82,6 +82,11 @@ def test_occurrences_without_pairs_as_rows(spark):
     assert moved(queries.occurrences_by_pair(spark, SF)) == []
 
 
+@pytest.mark.parametrize("name", ["pair_costs"])
+def test_costs_without_joins_of_pairs(spark, name):
+    assert moved(queries.QUERIES[name](spark, SF)) == []
+
+
 def test_pairs_of_awkward_rows(spark):
     """Repeated, negative, far and missing ids; one text in all of them; a cutoff."""
     seqs = ["ABCDE" * 3, "XABCDE", "ABCDEY", "", "ABCDE" * 4, "QRSTUV", "ABCDE" * 3]
@@ -89,6 +94,9 @@ def test_pairs_of_awkward_rows(spark):
     df = spark.createDataFrame([(s, ">", x, len(x)) for s, x in zip(sids, seqs, strict=True)], fasta.SCHEMA)
     linked = sorted({(a, b) for i, a in enumerate(sids) for j, b in enumerate(sids) if None not in (a, b) and a < b and {seqs[i][k : k + 5] for k in range(len(seqs[i]) - 4)} & {seqs[j][k : k + 5] for k in range(len(seqs[j]) - 4)}})
     assert as_pairs(pairs.common_substring_pairs(df, 5)) == linked
+    costs = Counter((r["id1"], r["id2"], r["len1"] * r["len2"]) for r in pairs.common_substring_pairs_with(df, 5, ["len"]).collect())
+    joined = Counter((a, b, len(seqs[i]) * len(seqs[j])) for a, b in linked for i, x in enumerate(sids) if x == a for j, y in enumerate(sids) if y == b)
+    assert costs == joined
     once = df.where("sid <> 5 or len < 10")
     kept = {s: len(x) for s, x in zip(sids, seqs, strict=True) if s != 5 or len(x) < 10}
     cut = [(a, b) for a, b in linked if min(kept[a], kept[b]) * 100 >= 50 * max(kept[a], kept[b])]
