@@ -82,7 +82,7 @@ def test_occurrences_without_pairs_as_rows(spark):
     assert moved(queries.occurrences_by_pair(spark, SF)) == []
 
 
-@pytest.mark.parametrize("name", ["pair_costs"])
+@pytest.mark.parametrize("name", ["pair_costs", "cost_by_owner"])
 def test_costs_without_joins_of_pairs(spark, name):
     assert moved(queries.QUERIES[name](spark, SF)) == []
 
