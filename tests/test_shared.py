@@ -87,6 +87,10 @@ def test_costs_without_joins_of_pairs(spark, name):
     assert moved(queries.QUERIES[name](spark, SF)) == []
 
 
+def test_tiles_without_windows_as_rows(spark):
+    assert moved(pairs.tiles(pairs.common_substring_pairs(queries.documents(spark, SF), 24), 100)) == []
+
+
 def test_pairs_of_awkward_rows(spark):
     """Repeated, negative, far and missing ids; one text in all of them; a cutoff."""
     seqs = ["ABCDE" * 3, "XABCDE", "ABCDEY", "", "ABCDE" * 4, "QRSTUV", "ABCDE" * 3]
