@@ -91,6 +91,11 @@ def test_tiles_without_windows_as_rows(spark):
     assert moved(pairs.tiles(pairs.common_substring_pairs(queries.documents(spark, SF), 24), 100)) == []
 
 
+def test_classes_without_windows_as_rows(spark):
+    docs = queries.documents(spark, SF)
+    assert "Generate" not in moved(pairs.class_pairs(docs, pairs.sequence_classes(docs), 24))
+
+
 def test_pairs_of_awkward_rows(spark):
     """Repeated, negative, far and missing ids; one text in all of them; a cutoff."""
     seqs = ["ABCDE" * 3, "XABCDE", "ABCDEY", "", "ABCDE" * 4, "QRSTUV", "ABCDE" * 3]
