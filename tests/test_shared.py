@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import pairs, shared
+from kinweave.operators import kmers, pairs, shared
 from kinweave.plans import queries
 from kinweave.sources import fasta
 from test_graph import as_pairs, maximal, table
@@ -112,3 +112,19 @@ def test_pairs_of_awkward_rows(spark):
     assert as_pairs(pairs.common_substring_pairs(once, 5, 50)) == cut and len(cut) < len(linked)
     assert as_pairs(pairs.common_substring_pairs(df.limit(0), 5)) == []
     assert tuple(shared.match_counts(df.limit(0), 5).first()) == (0, 0)
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_counts_of_windows(spark, k):
+    """Letters of the alphabet are counted in a table, windows with others by themselves; five letters are too many for the table."""
+    rng = random.Random(k)
+    seqs = ["".join(rng.choices("ABCZ", k=rng.randint(0, 30))) for _ in range(20)] + ["AB>CAB", "éABCé", "", "\U0001f600ABC", "ZZZZZZ"]
+    df = table(spark, seqs).unionByName(spark.createDataFrame([(99, ">", None, 0)], fasta.SCHEMA))
+    got = {r["kmer"]: r["size"] for r in kmers.counted(df, k).collect()}
+    assert got == Counter(x[i : i + k] for x in seqs for i in range(len(x) - k + 1))
+    assert {r["kmer"] for r in kmers.counted(df, k, ["Z\\{2\\}"]).collect()} == {w for w in got if "ZZ" not in w}
+
+
+@pytest.mark.parametrize("name", ["kmer_buckets", "kmer_skip", "bucket_stats"])
+def test_counts_without_windows_as_rows(spark, name):
+    assert moved(queries.QUERIES[name](spark, SF)) == []
