@@ -128,3 +128,22 @@ def test_counts_of_windows(spark, k):
 @pytest.mark.parametrize("name", ["kmer_buckets", "kmer_skip", "bucket_stats"])
 def test_counts_without_windows_as_rows(spark, name):
     assert moved(queries.QUERIES[name](spark, SF)) == []
+
+
+@pytest.mark.parametrize("sent", [1 << 22, 0])
+def test_found_in_a_sent_side_or_a_joined_one(spark, monkeypatch, sent):
+    """Missing and repeated ids, shared and repeated windows, texts outside ASCII: whether the right side is sent to all tasks or joined."""
+    monkeypatch.setattr(shared, "SENT", sent)
+    monkeypatch.setattr(shared, "RANGE", 80)
+    rng = random.Random(3)
+    left = [(rng.choice([1, 2, 3, 4, None]), "".join(rng.choices("ABé", k=rng.randint(0, 25)))) for _ in range(30)]
+    right = [(7, "ABABAB"), (8, "éABAB"), (8, "BBBBB"), (9, ""), (9, "AB"), (10, "ABABAB")]
+    one, two = (spark.createDataFrame([(i, ">", x, len(x)) for i, x in rows], fasta.SCHEMA) for rows in (left, right))
+    share = lambda x, y: any(x[k : k + 5] in y for k in range(len(x) - 4))
+    got = pairs.cross_set_pairs(one, two, 5).collect()
+    assert {tuple(r) for r in got} == {(a, b) for a, x in left for b, y in right if share(x, y)} and len(got) == len(set(got))
+    assert pairs.cross_set_pairs(one, two.limit(0), 5).count() == 0
+
+
+def test_contamination_without_windows_as_rows(spark):
+    assert moved(queries.contamination(spark, SF)) == []
