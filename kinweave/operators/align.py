@@ -27,6 +27,8 @@ NEG = -(1 << 28)
 #: Cells of one diagonal array (pairs times padded length of the left), and bytes of the padded codes of the right.
 CELLS = 400_000
 CODES = 4_000_000
+#: Letters of a right side of which the part that matters is looked for first, if it is twice as long as the left.
+LONG = 256
 KINDS = ("nw", "sg", "sw")
 
 
@@ -155,6 +157,33 @@ def _batches(order: list[int], la: list[int], lb: list[int]) -> Iterator[list[in
         yield own
 
 
+def _trimmed(a: np.ndarray, b: np.ndarray, matrix: np.ndarray, open_: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of both that the best local alignment lies in: the same alignment is found there, with the same ties.
+
+    Scores alone come row by row, the long right side at once (a gap along it is a
+    running maximum, as opening a gap in a gap never gains). They give the cell in
+    which the alignment ends. It can't reach back further than its own letters and
+    the gaps that the letters of the left can pay for.
+    """
+    steps = np.arange(len(b) + 1, dtype=np.int32) * gap
+    profile = matrix[:, b] if len(b) < CELLS else None
+    h, down = np.zeros(len(b) + 1, np.int32), np.full(len(b) + 1, NEG, np.int32)
+    best = i_end = j_end = 0
+    for i, x in enumerate(a.tolist(), 1):
+        down = np.maximum(h - open_, down - gap)
+        now = np.zeros(len(b) + 1, np.int32)
+        np.maximum(h[:-1] + (matrix[x][b] if profile is None else profile[x]), down[1:], out=now[1:])
+        np.maximum(now, 0, out=now)
+        reach = np.maximum.accumulate(now + steps)
+        np.maximum(now[1:], reach[:-1] - steps[:-1] - open_, out=now[1:])
+        h = now
+        top = int(h.max())
+        if top > best:
+            best, i_end, j_end = top, i, int(h.argmax())
+    most = int(np.maximum(matrix.max(1)[a[:i_end]], 0).sum())
+    return a[:i_end], b[max(0, j_end - i_end - (most - best) // gap - 1) : j_end]
+
+
 def align_lists(left: list[str | None], right: list[str | None], kind: str = "sw", matrix: str | np.ndarray = "blosum62", open_: int = 10, gap: int = 1, stats_mode: str = "carried") -> np.ndarray:
     """Rows of score, matches, length."""
     if kind not in KINDS or stats_mode not in ("carried", "neighbor"):
@@ -163,6 +192,10 @@ def align_lists(left: list[str | None], right: list[str | None], kind: str = "sw
     codes = residue_codes().astype(np.int8)
     code = lambda s: codes[np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)]
     a, b = list(map(code, left)), list(map(code, right))
+    if kind == "sw" and stats_mode == "carried" and open_ >= gap > 0:
+        for k in range(len(a)):
+            if len(b[k]) >= LONG and len(b[k]) >= 2 * len(a[k]):
+                a[k], b[k] = _trimmed(a[k], b[k], scores, open_, gap)
     out = np.zeros((len(a), 3), np.int64)
     # Like lengths of the right side together, so that a long one doesn't pad many short ones.
     order = sorted(range(len(a)), key=lambda k: (len(a[k]).bit_length(), len(b[k]).bit_length(), len(a[k]), len(b[k])))
